@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .license_scan import op10_license_scan
 from .mixing import op1_mix_sources
+from .substring_dedup import op8_substring_dedup
 from .token_table import op3_token_table
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_table)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_table, op8_substring_dedup, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
