@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .license_scan import op10_license_scan
 from .mixing import op1_mix_sources
+from .ngram_join import op9_ngram_join
 from .substring_dedup import op8_substring_dedup
 from .token_table import op3_token_table
+from .vector_search import op2_vector_search
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_token_table, op8_substring_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_search, op3_token_table, op8_substring_dedup, op9_ngram_join, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
