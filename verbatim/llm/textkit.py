@@ -18,6 +18,9 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Separators for terms: every ASCII byte but letters and digits.
+NOT_TERM = np.zeros(256, dtype=bool)
+NOT_TERM[:128] = [not chr(b).isalnum() for b in range(128)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE_WORD = 0x9E3779B97F4A7C15 | 1
@@ -69,7 +72,7 @@ class Chunk:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
-def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES, apart: np.ndarray = _SPACE) -> Iterator[Chunk]:
     """Rows in runs of about ``size`` bytes (a longer row alone); null texts count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -83,12 +86,12 @@ def chunks(column: pa.Array, lower: bool = False, size: int = CHUNK_BYTES) -> It
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
         own = offsets[at : to + 1] - offsets[at]
         part = data[offsets[at] : offsets[to]]
-        yield split_words(at, _LOWER[part] if lower else part, own)
+        yield split_words(at, _LOWER[part] if lower else part, own, apart)
         at = to
 
 
-def split_words(first: int, data: np.ndarray, offsets: np.ndarray) -> Chunk:
-    solid = ~_SPACE[data]
+def split_words(first: int, data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> Chunk:
+    solid = ~apart[data]
     n, rows = len(data), len(offsets) - 1
     if not n:
         none = np.zeros(0, np.int64)
@@ -108,14 +111,22 @@ def split_words(first: int, data: np.ndarray, offsets: np.ndarray) -> Chunk:
 
 def word_hashes(c: Chunk) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial of its bytes, mixed with its length."""
+    return span_hashes(c, c.starts, c.ends)
+
+
+def span_hashes(c: Chunk, *bounds: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans between pairs of bounds (starts, ends, starts, ends, ...), one after another."""
     up, down = powers(_BASE_WORD, len(c.data) + 1)
     total = np.empty(len(c.data) + 1, np.uint64)
     total[0] = 0
     part = _BYTE[c.data]
     part *= up[: len(c.data)]
     np.cumsum(part, out=total[1:])
-    h = (total[c.ends] - total[c.starts]) * down[c.starts]
-    return mix(h + (c.ends - c.starts).astype(np.uint64))
+    out = []
+    for starts, ends in zip(bounds[::2], bounds[1::2], strict=True):
+        h = (total[ends] - total[starts]) * down[starts]
+        out.append(mix(h + (ends - starts).astype(np.uint64)))
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def run_hashes(words: np.ndarray, k: int, which: int = 0) -> np.ndarray:
