@@ -21,10 +21,11 @@ from .textkit import NOT_TERM, chunks, mix, span_hashes
 #: Labelled rows of either class that are learned from.
 EXAMPLES = 4000
 NEIGHBOURS = 15
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6)
 BLOCK = 64
-#: A term is kept if its G statistic exceeds this and so many examples hold it.
-LEAST_G, LEAST_ROWS = 30.0, 6
+#: A term is kept if its G statistic exceeds this, so many examples of label 1 hold it, and such a
+#: share of the rows that hold it, counted as often as the classes are, has label 1.
+LEAST_G, LEAST_ROWS, LEAST_SHARE = 10.0, 3, 0.6
 THRESHOLD = 0.7
 
 
@@ -109,7 +110,9 @@ class Model:
         owner = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         vocabulary, code = np.unique(every, return_inverse=True)
         rows_1, rows_0 = (np.bincount(code[y[owner] == c], minlength=len(vocabulary)) for c in (1, 0))
-        keep = (g_statistic(rows_1, rows_0, int((y == 1).sum()), int((y == 0).sum())) > LEAST_G) & (rows_1 + rows_0 >= LEAST_ROWS)
+        often = [rows * counts.get(c, 0) / n[c] for rows, c in ((rows_0, 0), (rows_1, 1))]
+        telling = often[1] >= LEAST_SHARE * (often[0] + often[1])
+        keep = telling & (g_statistic(rows_1, rows_0, int((y == 1).sum()), int((y == 0).sum())) > LEAST_G) & (rows_1 >= LEAST_ROWS)
         self.vocabulary = vocabulary[keep]
         self.idf = 1 + np.log(len(terms) / np.maximum(1, (rows_1 + rows_0)[keep]))
         vectors = np.zeros((len(terms), len(self.vocabulary)))
