@@ -1,7 +1,8 @@
 """Toxicity by the nearest labelled examples.
 
 Texts are TF-IDF vectors over terms that tell the classes apart: words and their first letters
-(which catch inflected forms), kept where the labels' association with them is beyond chance.
+(which catch inflected forms), kept where the labels' association with them is beyond chance;
+all other words of a text are one term more.
 Examples stand in an inverted index whose postings are cut into blocks of consecutive examples; a
 block's largest weight for each term bounds every cosine in it, so blocks are scored from the
 highest bound down until no bound exceeds the k-th best cosine: the neighbours are exact. Their
@@ -21,11 +22,11 @@ from .textkit import NOT_TERM, chunks, mix, span_hashes
 #: Labelled rows of either class that are learned from.
 EXAMPLES = 4000
 NEIGHBOURS = 15
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
 #: A term is kept if its G statistic exceeds this, so many examples of label 1 hold it, and such a
 #: share of the rows that hold it, counted as often as the classes are, has label 1.
-LEAST_G, LEAST_ROWS, LEAST_SHARE = 10.0, 3, 0.6
+LEAST_G, LEAST_ROWS, LEAST_SHARE = 26.0, 3, 0.6
 THRESHOLD = 0.7
 
 
@@ -56,8 +57,9 @@ def _terms_of_sample(batches):
                     batch.column(1).slice(c.first, c.rows),
                     pa.array([term[new[a:b]].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
                     pa.array([tf[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+                    pa.array(c.counts, pa.int64()),
                 ],
-                ["y", "terms", "tf"],
+                ["y", "terms", "tf", "n"],
             )
 
 
@@ -100,9 +102,9 @@ class BlockMaxIndex:
 
 
 class Model:
-    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], y: np.ndarray, counts: dict[int, int], k: int = NEIGHBOURS):
+    def __init__(self, terms: list[np.ndarray], tf: list[np.ndarray], words: np.ndarray, y: np.ndarray, counts: dict[int, int], k: int = NEIGHBOURS):
         order = np.lexsort((np.array([int(mix(t).sum()) if len(t) else 0 for t in terms], np.uint64), y))
-        terms, tf, y = [terms[i] for i in order], [tf[i] for i in order], y[order]
+        terms, tf, words, y = [terms[i] for i in order], [tf[i] for i in order], words[order], y[order]
         self.y, self.k = y, k
         n = {c: max(1, int((y == c).sum())) for c in (0, 1)}
         self.weight = np.array([counts.get(c, 0) / n[c] for c in (0, 1)])[y]
@@ -115,29 +117,34 @@ class Model:
         keep = telling & (g_statistic(rows_1, rows_0, int((y == 1).sum()), int((y == 0).sum())) > LEAST_G) & (rows_1 >= LEAST_ROWS)
         self.vocabulary = vocabulary[keep]
         self.idf = 1 + np.log(len(terms) / np.maximum(1, (rows_1 + rows_0)[keep]))
-        vectors = np.zeros((len(terms), len(self.vocabulary)))
-        for i, (t, f) in enumerate(zip(terms, tf, strict=True)):
-            at, w = self.vector(t, f)
+        own = [self.vector(t, f, n) for t, f, n in zip(terms, tf, words.tolist(), strict=True)]
+        vectors = np.zeros((len(terms), len(self.vocabulary) + 1))
+        for i, (at, w) in enumerate(own):
             vectors[i, at] = w
+        bare = ~vectors[:, :-1].any(axis=1)
+        vectors[bare, -1] = 1.0
         self.index = BlockMaxIndex(vectors)
-        bare = ~vectors.any(axis=1)
         #: The share of label 1 among examples that hold none of the terms.
         self.bare = self._share(bare, np.ones(len(y))) if bare.any() else self._share(np.ones(len(y), bool), np.ones(len(y)))
-        raw = np.array([self.raw(np.flatnonzero(v), v[np.flatnonzero(v)], leave=i)[0] for i, v in enumerate(vectors)])
+        raw = np.array([self.raw(at, w, leave=i)[0] for i, (at, w) in enumerate(own)])
         self._calibrate(raw[~bare], y[~bare], self.weight[~bare])
 
     def _share(self, who: np.ndarray, votes: np.ndarray) -> float:
         w = self.weight[who] * votes[who]
         return float((w * self.y[who]).sum() / w.sum()) if w.sum() else 0.0
 
-    def vector(self, terms: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.vocabulary) or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == terms
-        at = at[known]
-        w = (1 + np.log(tf[known])) * self.idf[at]
-        return at, w / np.sqrt((w**2).sum()) if len(w) else w
+    def vector(self, terms: np.ndarray, tf: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and weights of a text's unit vector; the last place is for all words without a place of their own."""
+        at, own = np.zeros(0, np.int64), np.zeros(0)
+        if len(self.vocabulary) and len(terms):
+            at = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+            known = self.vocabulary[at] == terms
+            at, tf = at[known], tf[known]
+            own = (1 + np.log(tf)) * self.idf[at]
+        if not len(at):
+            return at, own
+        at, w = np.append(at, len(self.vocabulary)), np.append(own, 1 + np.log(max(1, words)))
+        return at, w / np.sqrt((w**2).sum())
 
     def raw(self, at: np.ndarray, w: np.ndarray, leave: int = -1):
         if not len(at):
@@ -165,8 +172,8 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
     sample, counts = learning_sample(docs, labels, label, examples)
-    rows = sample.mapInArrow(_terms_of_sample, "y int, terms binary, tf binary").collect()
-    return Model([np.frombuffer(r["terms"], "<u8") for r in rows], [np.frombuffer(r["tf"], "<u4") for r in rows], np.array([r["y"] for r in rows], np.int64), counts)
+    rows = sample.mapInArrow(_terms_of_sample, "y int, terms binary, tf binary, n long").collect()
+    return Model([np.frombuffer(r["terms"], "<u8") for r in rows], [np.frombuffer(r["tf"], "<u4") for r in rows], np.array([r["n"] for r in rows], np.int64), np.array([r["y"] for r in rows], np.int64), counts)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
@@ -191,8 +198,8 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
                 row, term = row[order], term[order]
                 cuts = np.searchsorted(row, np.arange(c.rows + 1))
                 out = []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    raw, found, cosine = m.raw(*m.vector(*np.unique(term[a:b], return_counts=True)))
+                for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    raw, found, cosine = m.raw(*m.vector(*np.unique(term[a:b], return_counts=True), int(c.counts[r])))
                     evidence = [{"example": int(i), "cosine": float(s), "label": int(m.y[i])} for i, s in zip(found, cosine, strict=True)]
                     out.append((m.score(raw) if len(found) else m.bare, evidence))
                 yield pa.RecordBatch.from_arrays(
