@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, likely_in
 from .textkit import NOT_TERM, chunks, run_hashes, run_starts, split_words, word_hashes
 
 SEED_WORDS = 3
@@ -158,7 +158,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
     hits = places.join(rare, "seed").groupBy("doc_id", "tie", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("starts"))
     proposals = hits.join(items.select("item", "item_id", "words"), "item").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("proposals"))
     once = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
-    texts = rows.join(proposals.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "proposals"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
+    proposals = cut(proposals.select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), "proposals"))
+    texts = likely_in(rows, "tie", proposals).join(proposals, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie")))
     texts = texts.withColumn("_nth", once).filter("_nth = 1").select("doc_id", "tie", "text", "proposals")
     found = texts.mapInArrow(_check(least_score), "doc_id long, tie long, item_id long, score double, first_word long, last_word long")
     best = F.max(F.struct("score", -F.col("first_word"), -F.col("last_word"))).alias("m")

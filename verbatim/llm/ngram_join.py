@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import cut
+from .shared import cut, likely_in
 from .textkit import chunks, mix, run_hashes, word_hashes
 
 WORDS, NEED, OF = 4, 85, 100
 #: Bits of one sketch piece; the fingerprint of a piece is the xor of its odd bits' numbers, mixed.
-PIECE_BITS = 256
+PIECE_BITS = 1 << 20
 #: Bytes of text whose keys one bucket gets on average.
 BUCKET_BYTES = 16 << 20
 BLOCK = 1024
@@ -309,25 +309,25 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     unpack = F.pandas_udf(lambda s: s.map(lambda m: np.frombuffer(m, "<i8")), "array<long>")
     groups = cut(groups.select("hub", "gid", unpack("members").alias("members")))
     tied = groups.select("hub", F.explode("members").alias("node"))
-    star = cut(tied.filter("node <> hub").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    star = cut(tied.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b")))
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
-        picks = described.join(nodes.distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.doc_id").alias("_id"), F.col("at.tie").alias("_tie"))
-        texts = rows.join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
-        return texts.mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"])
+    # The set of each grouped node, from the text of one document that has it.
+    picks = described.join(tied.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
+    picks = cut(picks)
+    texts = likely_in(rows, "tie", picks).join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
+    sets = cut(texts.mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"]))
 
-    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_verify(need, of), "a long, b long")
 
-    links = cut(verified(star, sets_of(star.select(F.explode(F.array("a", "b")).alias("node")))))
+    links = cut(verified(star))
     parts = connected(links)
     spread = groups.select("gid", F.explode("members").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gid")
     rest = cut(spread.join(open_groups, "gid"))
     if not rest.isEmpty():
-        sets = cut(sets_of(rest.select("node")))
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
         of_group = rest.join(sketches, "node")
         in_group = of_group.select("gid", F.struct("node", "component", "n", "sketch").alias("m"), F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("spot"))
@@ -337,7 +337,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         right = blocks.select("gid", F.col("block").alias("j"), F.col("members").alias("right"))
         pairs = left.join(right, "gid").filter("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
         pairs = pairs.mapInPandas(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(pairs, sets)
+        more = verified(pairs)
         parts = connected(links.unionByName(more))
     known = described.join(parts, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = known.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))

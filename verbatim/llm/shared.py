@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -24,3 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def likely_in(rows: DataFrame, column: str, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The ``rows`` whose ``column`` (a hash, long) may be among ``keys``' first column: all that are, and few others.
+
+    The keys' low bits are marked in a bitmap of fixed size (2 MB at 24 bits), which goes to all
+    tasks, so that a join that follows moves few rows; with too many keys it lets all rows through.
+    """
+    place = lambda c: F.pmod(c, F.lit(bits)) + 1
+    key = F.col(keys.columns[0])
+    marked = keys.select(place(key).alias("k")).groupBy(F.bitmap_bucket_number("k").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_bitmap"))
+    spot = rows.withColumn("_spot", place(F.col(column))).withColumn("_bucket", F.bitmap_bucket_number("_spot")).withColumn("_bit", F.bitmap_bit_position("_spot"))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = spot.join(F.broadcast(marked), "_bucket").filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0)
+    return hit.select(*rows.columns)
