@@ -290,10 +290,10 @@ def _sketches(batches):
 
 
 def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
-    """doc_id, n_shingles, node (the number of its set), component_id and the text's tie of each document.
+    """doc_id, n_shingles, component (the least set number that links reach), component_id and the text's tie of each document.
 
-    Documents with equal sets share a node; nodes link when ``of`` * intersection >= ``need`` * union;
-    component_id is the least doc_id that links reach. Null and empty texts have an empty set, are
+    Documents with equal sets are one node; nodes link when ``of`` * intersection >= ``need`` * union;
+    component_id is the least doc_id that links reach. Null and empty texts have an empty set and a null component, are
     linked with nothing and keep their own doc_id; so do null doc_ids as long as no document with a
     doc_id is linked with them. Repeated rows are linked with each other. More columns are left out.
     """
@@ -342,7 +342,19 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     known = described.join(parts, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = known.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "component", "left")
-    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "tie", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, k: int = 5, need: int = 80, of: int = 100) -> DataFrame:
+    """One row of each group of linked documents, that of the least doc_id and text hash, and all rows without words; all columns kept."""
+    names = docs.columns
+    classes = similarity_classes(docs, k, need, of)
+    kept = classes.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("m")).select("m.doc_id", "m.tie", F.lit(True).alias("one"))
+    bare = classes.filter(F.col("component").isNull()).select("doc_id", "tie", F.lit(False).alias("one")).distinct()
+    keys = cut(kept.unionByName(bare).select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), F.col("one").alias("_one")))
+    found = docs.withColumn("_t", F.xxhash64("text")).join(keys, (F.col("_t") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    one = found.filter("_one").groupBy("_id", "_tie").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return one.unionByName(found.filter("not _one").select(*names))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -179,6 +179,22 @@ def score_quality(docs: DataFrame, model: AttentionModel | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, passage long, attention double")
 
 
+def keep_good(docs: DataFrame, model: AttentionModel | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose score reaches the threshold; without a model all rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for c in chunks(batch.column(text)):
+                n, x = passages(c)
+                score = np.round(_sigmoid(m.forward(x.astype("<f4").astype(float), n)[0]), 9) if m else np.ones(c.rows)
+                yield batch.slice(c.first, c.rows).filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scored = score_quality(docs, train(docs, labels))
