@@ -6,11 +6,12 @@ from .decontaminate import op4_decontaminate
 from .license_scan import op10_license_scan
 from .mixing import op1_mix_sources
 from .ngram_join import op9_ngram_join
+from .pii import op7_personal_data
 from .quality import op6_quality
 from .substring_dedup import op8_substring_dedup
 from .token_table import op3_token_table
 from .toxicity import op5_toxicity
 from .vector_search import op2_vector_search
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_search, op3_token_table, op4_decontaminate, op5_toxicity, op6_quality, op8_substring_dedup, op9_ngram_join, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_vector_search, op3_token_table, op4_decontaminate, op5_toxicity, op6_quality, op7_personal_data, op8_substring_dedup, op9_ngram_join, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {}
