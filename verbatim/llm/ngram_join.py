@@ -9,9 +9,12 @@ keys its pieces for its own band and for the next one. Most sets leave few piece
 piece gets a key only in a set that has more of them than there are pieces beyond the difference,
 for only two such sets can be linked without an equal piece that holds something.
 
-Equal keys form groups. First each document is verified against one hub of its groups, and what is
-linked becomes one component; then, in blocks, only those members of a group are compared that are
-in different components, by Hamming distance of their whole sketches, and verified exactly.
+There are some pieces more than that, so linked sets agree in several: a pair from the groups of
+equal keys is kept if its equal pieces, counted over all groups, are as many as the two sets' own
+empty pieces leave certain, and it is verified exactly. Groups of more than PAIRED members, whose
+pairs would grow with their square, go another way: each member is verified against one hub of its
+groups, what is linked becomes one component, and only members of a group that are in different
+components are compared, in blocks, by Hamming distance of their whole sketches, then verified.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ PIECE_BITS = 1 << 20
 #: Bytes of text whose keys one bucket gets on average.
 BUCKET_BYTES = 16 << 20
 BLOCK = 1024
+#: Members up to which a group's pairs are counted one by one.
+PAIRED = 32
 
 
 def shingle_sets(c, k: int):
@@ -103,7 +108,10 @@ def band_start(b: int, need: int, of: int) -> int:
 
 
 def piece_keys(ends: np.ndarray, hashes: np.ndarray, need: int, of: int):
-    """(set, key) of every piece of all sets, each for its own size band and, if a linked set can be there, the next."""
+    """(set, key, size band, need) of every piece of all sets, each for its own size band and, if a linked set can be there, the next.
+
+    need: how many pieces that hold something are equal in a linked set of the band at least.
+    """
     n = np.diff(np.append(0, ends))
     sets = np.flatnonzero(n)
     own = np.zeros(len(n), np.int64)
@@ -133,17 +141,18 @@ def piece_keys(ends: np.ndarray, hashes: np.ndarray, need: int, of: int):
         key = mix(np.bitwise_xor.reduceat(bit[order], begin) ^ seed[order][begin])
         at = at[begin]
         owner = of_set[order][begin]
-        found.append((owner, key))
         empty = pieces - np.bincount(owner, minlength=len(n))
+        sure = np.maximum(1, pieces - apart - empty)
+        found.append((owner, key, own[owner] + step, sure[owner]))
         many = np.flatnonzero(use & (empty > pieces - apart - 1))
         for r in many.tolist():
             held = np.zeros(pieces[r], bool)
             held[at[owner == r] - base[r]] = True
             spots = np.flatnonzero(~held)
-            found.append((np.full(len(spots), r), mix(mix((((own[r] + step) << 32) + spots).astype(np.uint64)))))
+            found.append((np.full(len(spots), r), mix(mix((((own[r] + step) << 32) + spots).astype(np.uint64))), np.full(len(spots), own[r] + step), np.ones(len(spots), np.int64)))
     if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate([a for a, _ in found]), np.concatenate([k for _, k in found])
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -167,37 +176,42 @@ def _describe(k: int):
     return run
 
 
+_OWNER = np.dtype([("node", "<i8"), ("keys", "<u4"), ("band", "<u2"), ("sure", "<u2")])
+
+
 def _send_keys(k: int, need: int, of: int, buckets: int):
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column(0), lower=True):
                 ends, hashes = shingle_sets(c, k)
                 nodes = set_ids(ends, hashes)
-                owner, key = piece_keys(ends, hashes, need, of)
+                owner, key, size_band, sure = piece_keys(ends, hashes, need, of)
                 first = np.zeros(c.rows, bool)
                 first[np.unique(nodes, return_index=True)[1]] = True
-                keep = first[owner]
-                owner, key = owner[keep], key[keep]
-                bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((owner, bucket))
-                bucket, owner, key = bucket[order], owner[order], key[order]
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else []
-                stops = np.append(cuts[1:], len(bucket)).astype(np.int64)
-                rows = [[], [], [], []]
-                for a, b in zip(cuts, stops, strict=True):
-                    new = np.flatnonzero(np.append(True, owner[a + 1 : b] != owner[a : b - 1]))
+                keep = np.flatnonzero(first[owner])
+                bucket = ((key[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((size_band[keep], owner[keep], bucket))
+                bucket, keep = bucket[order], keep[order]
+                owner, key, size_band, sure = owner[keep], key[keep], size_band[keep], sure[keep]
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+                rows = [[], [], []]
+                for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=False):
+                    new = a + np.flatnonzero(np.append(True, (owner[a + 1 : b] != owner[a : b - 1]) | (size_band[a + 1 : b] != size_band[a : b - 1])))
+                    head = np.zeros(len(new), _OWNER)
+                    head["node"], head["keys"] = nodes[owner[new]], np.diff(np.append(new, b))
+                    head["band"], head["sure"] = size_band[new], np.minimum(sure[new], 0xFFFF)
                     rows[0].append(bucket[a])
-                    rows[1].append(nodes[owner[a:b][new]].tobytes())
-                    rows[2].append(np.diff(np.append(new, b - a)).astype("<u4").tobytes())
-                    rows[3].append(key[a:b].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "nodes", "counts", "keys"])
+                    rows[1].append(head.tobytes())
+                    rows[2].append(key[a:b].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["bucket", "owners", "keys"])
 
     return run
 
 
 def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The groups of two sets or more with a key in common, each once, in blocks of BLOCK members."""
-    nodes = np.repeat(np.frombuffer(b"".join(pdf["nodes"]), "<i8"), np.frombuffer(b"".join(pdf["counts"]), "<u4"))
+    """Pairs (a, b, band) with how many keys they share here and need in all; and larger groups, each once, in blocks of BLOCK members."""
+    head = np.frombuffer(b"".join(pdf["owners"]), _OWNER)
+    who = np.repeat(np.arange(len(head)), head["keys"])
     keys = np.frombuffer(b"".join(pdf["keys"]), "<u8")
     order = np.argsort(keys)
     ordered = keys[order]
@@ -205,15 +219,32 @@ def _group(pdf: pd.DataFrame) -> pd.DataFrame:
     twin[1:] = ordered[1:] == ordered[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
-    order = order[np.lexsort((nodes[order], keys[order]))]
-    keys, nodes = keys[order], nodes[order]
+    order = order[np.lexsort((head["node"][who[order]], keys[order]))]
+    keys, who = keys[order], who[order]
+    nodes = head["node"][who]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
+    keys, who, nodes = keys[new], who[new], nodes[new]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    out = {nodes[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True) if b - a > 1}
-    rows = [(int.from_bytes(m[:8], "little", signed=True), hash_of(m), m[i : i + 8 * BLOCK]) for m in out for i in range(0, len(m), 8 * BLOCK)]
-    return pd.DataFrame(rows, columns=["hub", "gid", "members"])
+    size = np.diff(np.append(cuts, len(keys)))
+    left, right = [], []
+    for m in range(2, PAIRED + 1):
+        at = cuts[size == m]
+        if len(at):
+            i, j = np.triu_indices(m, 1)
+            left.append((at[:, None] + i).ravel())
+            right.append((at[:, None] + j).ravel())
+    columns = ["a", "b", "band", "shared", "needed"]
+    pairs = pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
+    if left:
+        left, right = who[np.concatenate(left)], who[np.concatenate(right)]
+        needed = np.maximum(head["sure"][left], head["sure"][right]).astype(np.int64)
+        pairs = pd.DataFrame({"a": head["node"][left], "b": head["node"][right], "band": head["band"][left].astype(np.int64), "needed": needed})
+        pairs = pairs.groupby(["a", "b", "band"], sort=False, as_index=False).agg(shared=("needed", "size"), needed=("needed", "max"))[columns]
+    pairs["members"] = None
+    large = {nodes[a : a + m].tobytes() for a, m in zip(cuts[size > PAIRED], size[size > PAIRED], strict=True)}
+    rows = [(int.from_bytes(m[:8], "little", signed=True), hash_of(m), 0, 0, 0, m[i : i + 8 * BLOCK]) for m in large for i in range(0, len(m), 8 * BLOCK)]
+    return pd.DataFrame(rows, columns=[*columns, "members"]) if pairs.empty else pd.concat([pairs, pd.DataFrame(rows, columns=[*columns, "members"])]) if rows else pairs
 
 
 def hash_of(members: bytes) -> int:
@@ -304,15 +335,19 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     described = cut(rows.mapInArrow(_describe(k), "doc_id long, tie long, n long, node long"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    sent = rows.select("text").mapInArrow(_send_keys(k, need, of, buckets), "bucket long, nodes binary, counts binary, keys binary")
-    groups = sent.groupBy("bucket").applyInPandas(_group, "hub long, gid long, members binary").dropDuplicates(["gid", "members"])
+    sent = rows.select("text").mapInArrow(_send_keys(k, need, of, buckets), "bucket long, owners binary, keys binary")
+    met = cut(sent.groupBy("bucket").applyInPandas(_group, "a long, b long, band long, shared long, needed long, members binary"))
+    counted = met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    likely = cut(counted.filter("shared >= needed").select("a", "b").distinct())
     unpack = F.pandas_udf(lambda s: s.map(lambda m: np.frombuffer(m, "<i8")), "array<long>")
-    groups = cut(groups.select("hub", "gid", unpack("members").alias("members")))
+    large = met.filter("members is not null").select(F.col("a").alias("hub"), F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
+    groups = cut(large.select("hub", "gid", unpack("members").alias("members")))
     tied = groups.select("hub", F.explode("members").alias("node"))
-    star = cut(tied.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b")))
+    star = tied.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
+    star = cut(star.unionByName(likely).distinct())
 
-    # The set of each grouped node, from the text of one document that has it.
-    picks = described.join(tied.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
+    # The set of each node of a pair or large group, from the text of one document that has it.
+    picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
     texts = likely_in(rows, "tie", picks).join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
     sets = cut(texts.mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"]))
