@@ -2,5 +2,612 @@
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import dates, keys, text
+from .operators import census, cluster, dedup, intervals, nested, panels, reconcile, sampling, search, segment, stats
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def keep(query):
+        QUERIES[query.__name__] = query
+        if sql:
+            ORACLE_SQL[query.__name__] = sql
+        return query
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_FOLDED = "strip_accents(coalesce(text, ''))"
+_WORDS = r"len(regexp_extract_all(strip_accents(coalesce(text, '')), '\p{L}[\p{L}\p{N}_]*'))"
+
+
+def _has(term: str) -> str:
+    words = r"\s+".join(term.split())
+    return rf"regexp_matches({_FOLDED}, '(?i)(^|[^\p{{L}}\p{{N}}_]){words}($|[^\p{{L}}\p{{N}}_])')"
+
+
+@registered(
+    f"""
+    WITH d AS (SELECT lang, {_WORDS} AS w, (({_has('the')}) OR ({_has('de la')})) AND NOT ({_has('den')}) AS hit FROM documents)
+    SELECT lang, count(*) AS documents, CAST(sum(w) AS BIGINT) AS words, count(*) FILTER (hit) AS hits,
+           count(*) FILTER (hit) / count(*) AS per_document,
+           CASE WHEN sum(w) > 0 THEN 1000.0 * count(*) FILTER (hit) / sum(w) ELSE 0.0 END AS per_1000_words
+    FROM d GROUP BY lang
+    """
+)
+def search_yearly_metrics(spark, sf_dir):
+    return search.yearly_metrics(table(spark, sf_dir, "documents"), 'the -den OR "de la"', "lang")
+
+
+@registered(f"SELECT doc_id, lang FROM documents WHERE {_has('of the')} ORDER BY n_chars DESC, doc_id")
+def search_phrase(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.filter(search.matches(text.strip_accents(F.col("text")), '"of the"')).select("doc_id", "lang")
+
+
+@registered("SELECT doc_id, lang, source, n_chars FROM documents WHERE lang ILIKE '%e%' AND source ILIKE '%src1%' ORDER BY doc_id DESC NULLS LAST LIMIT 100")
+def filtered_topk(spark, sf_dir):
+    rows, _ = search.filtered(table(spark, sf_dir, "documents"), {"lang": "e", "source": "src1", "nowhere": "x"})
+    return search.top(search.compact(rows, ["doc_id", "lang", "source", "n_chars", "text"], text="text"), "doc_id")
+
+
+@registered("SELECT DISTINCT source AS value FROM documents WHERE source <> '' ORDER BY 1")
+def filter_options(spark, sf_dir):
+    return search.options(table(spark, sf_dir, "documents"), "source")
+
+
+@registered(
+    f"""
+    SELECT doc_id, {_WORDS} AS n_words, {_FOLDED} AS folded, strlen(text) AS n_bytes, length(text) AS n_letters, sha256(text) AS text_sha256
+    FROM documents
+    """
+)
+def text_measures(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", text.word_count(t).alias("n_words"), text.strip_accents(t).alias("folded"), F.octet_length(t).cast("long").alias("n_bytes"),
+        F.length(t).cast("long").alias("n_letters"), F.sha2(t, 256).alias("text_sha256"),
+    )
+
+
+@registered(
+    """
+    SELECT doc_id, substr(text, 1, 100) || substr(text, greatest(length(text) - 199, 1)) AS excerpt, length(text) - 300 AS omitted
+    FROM documents WHERE length(text) > 300
+    """
+)
+def long_text_excerpts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 300)
+    cut = text.head_tail(F.col("text"), 300)
+    return docs.select("doc_id", cut["excerpt"].alias("excerpt"), cut["omitted"].cast("long").alias("omitted"))
+
+
+@registered(
+    """
+    SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys, count(*) FILTER (o_orderkey IS NULL) AS n_missing,
+           min(o_orderdate) AS first_day, max(o_orderdate) AS last_day,
+           count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') AS not_o_orderstatus
+    FROM orders
+    """
+)
+def base_census(spark, sf_dir):
+    return census.base_census(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate", {"o_orderstatus": "F"})
+
+
+@registered("SELECT coalesce(lang, '(none)') AS lang, coalesce(source, '(none)') AS source, count(*) AS n_rows FROM documents GROUP BY ALL")
+def language_source_census(spark, sf_dir):
+    return census.counts_by(table(spark, sf_dir, "documents"), "lang", "source")
+
+
+@registered(
+    """
+    SELECT 'l_returnflag' AS dimension, l_returnflag AS value, count(*) AS n_rows FROM lineitem GROUP BY ALL
+    UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY ALL
+    """
+)
+def category_frequencies(spark, sf_dir):
+    return census.category_frequencies(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@registered("SELECT count(DISTINCT k) AS n_keys FROM (SELECT CAST(doc_id AS VARCHAR) k FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM labels)")
+def global_distinct_ids(spark, sf_dir):
+    return census.distinct_over([table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")], "doc_id")
+
+
+@registered("SELECT count(*) AS n_keys, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_extra FROM (SELECT text, count(*) n FROM documents GROUP BY text HAVING count(*) > 1)")
+def duplicate_texts(spark, sf_dir):
+    return census.duplicate_keys(table(spark, sf_dir, "documents"), "text")
+
+
+@registered(
+    """
+    WITH k AS (SELECT DISTINCT event_type g, user_id k FROM events)
+    SELECT a.g AS left_group, b.g AS right_group, count(*) AS n_keys FROM k a JOIN k b ON a.k = b.k AND a.g < b.g GROUP BY ALL
+    """
+)
+def pairwise_overlap(spark, sf_dir):
+    return census.pairwise_overlap(table(spark, sf_dir, "events"), "event_type", "user_id")
+
+
+@registered(
+    """
+    SELECT o_orderpriority, count(*) AS n_rows, count(*) FILTER (d BETWEEN DATE '1994-01-01' AND DATE '1996-12-31') AS within,
+           count(*) FILTER (d < DATE '1994-01-01') AS before, count(*) FILTER (d > DATE '1996-12-31') AS after, count(*) FILTER (d IS NULL) AS invalid
+    FROM (SELECT *, CAST(o_orderdate AS DATE) d FROM orders) GROUP BY ROLLUP (o_orderpriority)
+    """
+)
+def date_cut_conservation(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    _, where = census.date_cut(orders, "o_orderdate", "1994-01-01", "1996-12-31")
+    return census.conservation(orders, where, "o_orderpriority")
+
+
+@registered(
+    """
+    SELECT doc_id, concat_ws(',', CASE WHEN length(text) < 200 THEN 'short' END, CASE WHEN lang <> 'en' THEN 'foreign' END, CASE WHEN contains(text, '@') THEN 'address' END) AS flags
+    FROM documents
+    """
+)
+def quality_flags(spark, sf_dir):
+    flags = census.quality_flags(short=F.length("text") < 200, foreign=F.col("lang") != "en", address=F.contains("text", F.lit("@")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(flags, ",").alias("flags"))
+
+
+@registered(
+    """
+    WITH s AS (SELECT unnest(generate_series(1990, 2000)) y)
+    SELECT CAST(y AS BIGINT) AS year, count(o_orderkey) FILTER (o_orderstatus = 'F') AS "F", count(o_orderkey) FILTER (o_orderstatus = 'O') AS "O"
+    FROM s LEFT JOIN orders ON year(o_orderdate) = y GROUP BY y
+    """
+)
+def coverage_matrix(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    return census.coverage_matrix(orders, "year", "o_orderstatus", ["F", "O"], 1990, 2000)
+
+
+@registered(
+    """
+    WITH s AS (SELECT unnest(generate_series(1990, 2000)) y), g AS (SELECT unnest(['F', 'O']) g)
+    SELECT CAST(y AS BIGINT) AS year, g AS "group", count(o_orderkey) AS n_rows FROM s CROSS JOIN g LEFT JOIN orders ON year(o_orderdate) = y AND o_orderstatus = g
+    GROUP BY y, g HAVING count(o_orderkey) = 0
+    """
+)
+def missing_coverage(spark, sf_dir):
+    return census.missing_coverage(coverage_matrix(spark, sf_dir), "year")
+
+
+@registered(
+    """
+    SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_subjects, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+           round(stddev_samp(value), 6) AS deviation, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90
+    FROM events GROUP BY event_type
+    """
+)
+def descriptive_panel(spark, sf_dir):
+    panel = panels.descriptive_panel(table(spark, sf_dir, "events"), "value", "user_id", "event_type")
+    return panel.select("event_type", "n_rows", "n_subjects", *[F.round(c, 4 if c == "total" else 6).alias(c) for c in ("total", "mean", "median", "deviation", "p25", "p75", "p90")])
+
+
+@registered(
+    """
+    WITH p AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY ALL)
+    SELECT o_orderpriority, CAST(year AS INT) AS year, n, n - lag(n) OVER (PARTITION BY o_orderpriority ORDER BY year) AS difference,
+           1000.0 * n / sum(n) OVER (PARTITION BY year) AS share, n - median(n) OVER (PARTITION BY o_orderpriority) AS from_median FROM p
+    """
+)
+def period_changes(spark, sf_dir):
+    panel = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("n"))
+    out = panels.deviation_from_median(census.share_of_total(panels.period_difference(panel, "n", "year", "o_orderpriority"), "n", "year"), "n", "o_orderpriority")
+    return out.select("o_orderpriority", "year", "n", "difference", "share", F.col("from_median"))
+
+
+@registered(
+    """
+    SELECT o_orderpriority, count(*) AS n, round(regr_slope(c, y), 6) AS slope, round(regr_intercept(c, y), 3) AS intercept
+    FROM (SELECT o_orderpriority, year(o_orderdate) y, count(*) c FROM orders GROUP BY ALL) GROUP BY o_orderpriority
+    """
+)
+def trend_slope(spark, sf_dir):
+    panel = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    out = panels.trend(panel, "y", "c", "o_orderpriority")
+    return out.select("o_orderpriority", "n", F.round("slope", 6).alias("slope"), F.round("intercept", 3).alias("intercept"))
+
+
+@registered("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY n_chars DESC, doc_id DESC) = 1")
+def keep_first_dedup(spark, sf_dir):
+    return dedup.keep_first(table(spark, sf_dir, "documents"), "text", F.col("n_chars").desc(), F.col("doc_id").desc()).select("doc_id", "lang", "source")
+
+
+@registered("SELECT sha256(text) AS content_sha256, min(doc_id) AS first_key, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
+def exact_duplicates(spark, sf_dir):
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registered(
+    """
+    SELECT user_id, event_id, ts, value, n AS occurrences FROM (
+      SELECT *, count(*) OVER (PARTITION BY user_id) n, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id DESC) r FROM events) WHERE r = 1
+    """
+)
+def priority_dedup(spark, sf_dir):
+    best = dedup.keep_best(table(spark, sf_dir, "events"), "user_id", F.col("value").desc(), F.col("event_id").desc())
+    return best.select("user_id", "event_id", "ts", "value", "occurrences")
+
+
+@registered(
+    """
+    SELECT o.* FROM (SELECT o_custkey, o_orderkey, o_orderstatus FROM orders) o
+    JOIN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1) USING (o_custkey)
+    """
+)
+def identifier_conflicts(spark, sf_dir):
+    return census.conflicting_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@registered(
+    r"""
+    WITH d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(strip_accents(text)), '\p{L}[\p{L}\p{N}_]*')) w FROM documents WHERE n_chars BETWEEN 100 AND 1500),
+    s AS (SELECT *, count(*) OVER (PARTITION BY source, lang) n FROM d), k AS (SELECT * FROM s WHERE n <= 80)
+    SELECT * FROM (SELECT a.source, a.lang, a.doc_id AS left_key, b.doc_id AS right_key,
+      len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity
+      FROM k a JOIN k b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
+    WHERE similarity >= 0.3 AND similarity < 1
+    """
+)
+def near_duplicates_blocked(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").filter(F.col("n_chars").between(100, 1500)).withColumn("words", text.word_set(F.col("text")))
+    return dedup.near_duplicates(docs, "doc_id", ["source", "lang"], "words", least=0.3)
+
+
+_STATES = """
+    daily AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1),
+    spans AS (SELECT user_id, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY user_id ORDER BY day) - 1, DATE '9999-12-31') AS valid_to, event_type,
+              lead(day) OVER (PARTITION BY user_id ORDER BY day) IS NOT NULL AS inferred_end FROM daily)
+"""
+
+
+def _states(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    return intervals.derive_intervals(events, "user_id", "day", "ts", "event_id").select("user_id", "valid_from", "valid_to", "event_type", "inferred_end")
+
+
+@registered(f"WITH {_STATES} SELECT user_id, CAST(valid_from AS DATE) AS valid_from, CAST(valid_to AS DATE) AS valid_to, event_type, inferred_end FROM spans")
+def interval_from_events(spark, sf_dir):
+    return _states(spark, sf_dir)
+
+
+@registered(
+    f"""
+    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events WHERE event_id % 7 = 0)
+    SELECT q.event_id, spans.event_type AS state, CAST(count(spans.event_type) AS BIGINT) AS n_candidates, CASE WHEN count(spans.event_type) = 0 THEN 'unmatched' ELSE 'matched' END AS status
+    FROM q LEFT JOIN spans ON q.user_id = spans.user_id AND q.d BETWEEN valid_from AND valid_to GROUP BY q.event_id, spans.event_type
+    """
+)
+def interval_join_inclusive(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("event_id", "user_id", F.to_date("ts").alias("d"))
+    joined = intervals.interval_join(asked, _states(spark, sf_dir), ["user_id"], "event_id", "d", "valid_from", "valid_to")
+    return joined.select("event_id", F.col("interval_event_type").alias("state"), "n_candidates", "status")
+
+
+@registered(
+    f"""
+    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events WHERE event_id % 11 = 0), c AS (
+      SELECT q.event_id, s.event_type, s.valid_from, rank() OVER (PARTITION BY q.event_id ORDER BY (day(s.valid_from) % 3) + 1) r
+      FROM q JOIN spans s ON q.user_id = s.user_id AND q.d >= s.valid_from AND q.d < s.valid_from + 10)
+    SELECT event_id, event_type, CAST(valid_from AS DATE) AS valid_from FROM c WHERE r = 1
+    """
+)
+def interval_join_halfopen_ties(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").filter("event_id % 11 = 0").select("event_id", "user_id", F.to_date("ts").alias("d"))
+    spans = _states(spark, sf_dir).select("user_id", "event_type", "valid_from", F.date_add("valid_from", 10).alias("valid_end"), (F.day("valid_from") % 3 + 1).alias("prio"))
+    best = intervals.best_candidates(asked, spans, ["user_id"], "event_id", "d", "valid_from", "valid_end", "prio")
+    return best.select("event_id", F.col("interval_event_type").alias("event_type"), F.col("interval_valid_from").alias("valid_from"))
+
+
+@registered(
+    """
+    SELECT l_orderkey, greatest(min(CAST(l_shipdate AS DATE)), DATE '1995-01-01') AS clip_start, max(least(CAST(l_shipdate AS DATE) + 30, DATE '1995-06-30')) AS clip_end, count(*) AS n_intervals
+    FROM lineitem WHERE CAST(l_shipdate AS DATE) <= DATE '1995-06-30' AND CAST(l_shipdate AS DATE) + 30 >= DATE '1995-01-01' GROUP BY l_orderkey
+    """
+)
+def window_overlap_clip(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("s", F.to_date("l_shipdate")).withColumn("e", F.date_add("s", 30))
+    return intervals.overlap_clip(lines, "l_orderkey", "s", "e", "1995-01-01", "1995-06-30")
+
+
+@registered(
+    """
+    WITH s AS (SELECT l_orderkey, l_linenumber, min(CAST(l_shipdate AS DATE)) AS d FROM lineitem GROUP BY ALL)
+    SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM s b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber <> a.l_linenumber AND b.d < a.d + 5 AND b.d + 5 > a.d) AS overlaps FROM s a
+    """
+)
+def overlapping_spans(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.to_date("l_shipdate")).alias("s")).withColumn("e", F.date_add("s", 5))
+    return intervals.overlapping_spans(lines, "l_orderkey", "l_linenumber", "s", "e").select("l_orderkey", "l_linenumber", "overlaps")
+
+
+@registered(
+    """
+    SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS in_raw, l.doc_id IS NOT NULL AS in_labelled, t.doc_id IS NOT NULL AS in_toxic, d.source,
+      CASE WHEN d.doc_id IS NOT NULL AND l.doc_id IS NULL THEN 'labelled' WHEN t.doc_id IS NULL THEN 'toxic' END AS lost_at
+    FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN (SELECT doc_id FROM labels WHERE toxic = 1) t ON t.doc_id = l.doc_id
+    """
+)
+def layer_reconciliation(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return reconcile.layer_presence({"raw": table(spark, sf_dir, "documents"), "labelled": labels, "toxic": labels.filter("toxic = 1")}, "doc_id", ["source"])
+
+
+@registered(
+    """
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'missing' WHEN a.o_orderkey IS NULL THEN 'added' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'equal' END AS state
+    FROM (SELECT o_orderkey, o_orderstatus s FROM orders WHERE o_orderkey % 3 <> 0) a
+    FULL JOIN (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END s FROM orders WHERE o_orderkey % 4 <> 0) b ON a.o_orderkey = b.o_orderkey
+    """
+)
+def baseline_changes(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    after = orders.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return reconcile.baseline_changes(orders.filter("o_orderkey % 3 <> 0"), after.filter("o_orderkey % 4 <> 0"), "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "state")
+
+
+@registered(
+    """
+    WITH a AS (SELECT o_custkey k, count(*) n, min(o_orderstatus) v FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1), b AS (SELECT o_custkey k, count(*) n, min(o_orderstatus) v FROM orders WHERE o_orderkey % 9 = 1 GROUP BY 1),
+    j AS (SELECT a.k ak, b.k bk, (coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1) m, a.v av, b.v bv FROM a FULL JOIN b ON a.k = b.k)
+    SELECT count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL) AS matched, count(*) FILTER (m) AS ambiguous, count(*) FILTER (NOT m AND bk IS NULL) AS only_left,
+      count(*) FILTER (NOT m AND ak IS NULL) AS only_right, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av = bv) AS equal, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av <> bv) AS different
+    FROM j
+    """
+)
+def linked_records(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return reconcile.linked_records(orders.filter("o_orderkey % 9 = 0"), orders.filter("o_orderkey % 9 = 1"), "o_custkey", "o_orderstatus")
+
+
+@registered(
+    """
+    SELECT c.c_custkey, CASE WHEN n = 1 THEN t END AS o_orderkey, coalesce(n, 0) AS n_targets, CASE WHEN n IS NULL THEN 'absent' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS bridge_status
+    FROM customer c LEFT JOIN (SELECT o_custkey, count(*) n, min(o_orderkey) t FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1) o ON c.c_custkey = o.o_custkey
+    """
+)
+def unique_bridge(spark, sf_dir):
+    targets = table(spark, sf_dir, "orders").filter("o_orderkey % 13 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return reconcile.unique_bridge(table(spark, sf_dir, "customer").select("c_custkey"), targets, "c_custkey", "o_orderkey").select("c_custkey", "o_orderkey", "n_targets", "bridge_status")
+
+
+@registered(
+    """
+    SELECT doc_id, source, lang, sha256('seed-1' || chr(0) || CAST(doc_id AS VARCHAR)) AS selection_key FROM documents
+    QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY sha256('seed-1' || chr(0) || CAST(doc_id AS VARCHAR)), doc_id)
+      <= greatest(1, ceil(CAST(count(*) OVER (PARTITION BY source, lang) AS DECIMAL(18, 0)) * 0.07))
+    """
+)
+def exact_rate_sample(spark, sf_dir):
+    return sampling.exact_rate(table(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "seed-1", "0.07").select("doc_id", "source", "lang", "selection_key")
+
+
+@registered(
+    """
+    SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha1('k' || CAST(doc_id AS VARCHAR)), doc_id) r, count(*) OVER (PARTITION BY lang) n FROM documents)
+    WHERE r <= greatest(3, ceil(n * 0.05))
+    """
+)
+def stratified_hash_sample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return sampling.hash_sample(docs, ["lang"], F.concat(F.lit("k"), F.col("doc_id").cast("string")), "doc_id", 0.05, 3).select("doc_id", "lang")
+
+
+@registered(
+    """
+    WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('rr' || chr(0) || CAST(doc_id AS VARCHAR)), doc_id) k FROM documents)
+    SELECT doc_id, source FROM r ORDER BY k, source, doc_id LIMIT 37
+    """
+)
+def round_robin_sample(spark, sf_dir):
+    return sampling.round_robin(table(spark, sf_dir, "documents"), "source", "doc_id", "rr", 37).select("doc_id", "source")
+
+
+@registered(
+    """
+    WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) k, count(*) OVER (PARTITION BY lang) n FROM documents)
+    SELECT doc_id, lang FROM r WHERE n <= 5 OR k IN (SELECT CAST(round_even(i * (n - 1) / 4.0, 0) AS BIGINT) + 1 FROM (SELECT unnest([0, 1, 2, 3, 4]) i))
+    """
+)
+def even_spread(spark, sf_dir):
+    return sampling.even_spread(table(spark, sf_dir, "documents"), ["lang"], "doc_id", 5).select("doc_id", "lang")
+
+
+@registered(
+    """
+    SELECT DISTINCT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) a, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) b FROM documents) WHERE a = 1 OR b = 1
+    """
+)
+def representative_sample(spark, sf_dir):
+    return sampling.representatives(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id").select("doc_id", "source")
+
+
+@registered()
+def greedy_batches(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return sampling.greedy_batches(docs, ["source"], "doc_id", "n_chars", 20, 20_000)
+
+
+@registered(
+    """
+    WITH c AS (SELECT l_returnflag, l_linestatus, count(*) o FROM lineitem GROUP BY ALL), r AS (SELECT l_returnflag, sum(o) t FROM c GROUP BY 1), k AS (SELECT l_linestatus, sum(o) t FROM c GROUP BY 1), n AS (SELECT sum(o) t FROM c)
+    SELECT r.l_returnflag, k.l_linestatus, coalesce(c.o, 0) AS observed, CAST(r.t AS DOUBLE) * k.t / n.t AS expected, coalesce(c.o, 0) / (CAST(r.t AS DOUBLE) * k.t / n.t) AS ratio, CAST(n.t AS BIGINT) AS total
+    FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.l_returnflag = r.l_returnflag AND c.l_linestatus = k.l_linestatus
+    """
+)
+def contingency_table(spark, sf_dir):
+    return stats.contingency(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@registered()
+def contingency_chi2(spark, sf_dir):
+    return stats.chi_square(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@registered(
+    """
+    WITH t AS (SELECT p_partkey, (p_partkey * 7919 % 1000) / 1000.0 AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) k, count(*) OVER () n FROM t)
+    SELECT p_partkey, CAST(p AS DOUBLE) AS p, least(1.0, min(p * n / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r
+    """
+)
+def bh_adjust(spark, sf_dir):
+    tests = table(spark, sf_dir, "part").select("p_partkey", ((F.col("p_partkey") * 7919 % 1000) / 1000.0).alias("p"), F.lit(0).alias("family"))
+    return stats.bh_adjust(tests, "p", "family", order="p_partkey").select("p_partkey", "p", "q")
+
+
+@registered(
+    """
+    WITH r AS (SELECT l_returnflag f, l_quantity x, l_extendedprice y, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 rx,
+      rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0 ry FROM lineitem)
+    SELECT f AS l_returnflag, count(*) AS n, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY f
+    """
+)
+def pearson_spearman(spark, sf_dir):
+    out = stats.correlations(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
+    return out.select("l_returnflag", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+@registered(
+    """
+    WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) tp, count(*) FILTER (quality = 0 AND toxic = 1) fp, count(*) FILTER (quality = 1 AND toxic = 0) fn, count(*) FILTER (quality = 0 AND toxic = 0) tn FROM labels)
+    SELECT tp, fp, fn, tn, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1,
+      round(((tp + tn) / n - e) / (1 - e), 9) AS kappa FROM (SELECT *, ((tp + fp) * (tp + fn) + (fn + tn) * (fp + tn)) / (n * n) e FROM (SELECT *, (tp + fp + fn + tn) n FROM c))
+    """
+)
+def label_agreement(spark, sf_dir):
+    out = stats.label_agreement(table(spark, sf_dir, "labels"), "quality", "toxic")
+    return out.withColumn("kappa", F.round("kappa", 9))
+
+
+@registered()
+def hac_trend(spark, sf_dir):
+    panel = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    return stats.hac_trend(panel, "y", "c", "o_orderpriority")
+
+
+@registered()
+def cluster_bootstrap(spark, sf_dir):
+    return stats.cluster_bootstrap(table(spark, sf_dir, "events"), "user_id", "value", 200, seed=3)
+
+
+@registered()
+def permutation_test(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return stats.permutation_test(rows, "lang", "quality", "n_chars", "doc_id", 99, seed=5)
+
+
+@registered()
+def kmeans_sweep(spark, sf_dir):
+    return cluster.kmeans_sweep(table(spark, sf_dir, "embeddings"), "embedding", range(2, 5))
+
+
+@registered(
+    """
+    SELECT conv_id, turn, CASE WHEN r1 = 'assistant' THEN t1 WHEN r2 = 'assistant' THEN t2 WHEN r3 = 'assistant' THEN t3 END AS response_turn
+    FROM (SELECT *, lead(role, 1) OVER w r1, lead(turn, 1) OVER w t1, lead(role, 2) OVER w r2, lead(turn, 2) OVER w t2, lead(role, 3) OVER w r3, lead(turn, 3) OVER w t3
+          FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'
+    """
+)
+def turn_response_pairs(spark, sf_dir):
+    return segment.responses(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "user", "assistant")
+
+
+@registered(
+    """
+    SELECT doc_id, CAST(i AS BIGINT) AS line_number, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE trim(line) <> ''
+    """
+)
+def text_lines(spark, sf_dir):
+    return segment.lines(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("line_number", F.col("line_number").cast("long"))
+
+
+@registered("SELECT doc_id, text FROM documents WHERE text <> ''")
+def text_blocks_joined(spark, sf_dir):
+    """The blocks of each text, put together again: the text itself."""
+    parts = segment.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", 300)
+    one = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "part_text"))), lambda x: x["part_text"]), "")
+    return parts.groupBy("doc_id").agg(one.alias("text"))
+
+
+@registered()
+def speaker_turns(spark, sf_dir):
+    return segment.speaker_turns(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registered()
+def page_texts(spark, sf_dir):
+    return segment.page_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+@registered()
+def json_field_profile(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    flat = nested.flatten(events, "props", "event_id", "event_type")
+    return nested.field_profile(flat, "event_id", "event_type", events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_records")))
+
+
+@registered(
+    """
+    SELECT event_type, user_id, n_rows, rank FROM (SELECT event_type, user_id, count(*) n_rows, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS rank, count(*) OVER (PARTITION BY event_type) d
+    FROM events GROUP BY event_type, user_id) WHERE d <= 1000
+    """
+)
+def value_frequencies(spark, sf_dir):
+    return nested.value_frequencies(table(spark, sf_dir, "events"), "event_type", "user_id", 1000).withColumn("rank", F.col("rank").cast("long"))
+
+
+@registered(
+    """
+    WITH d AS (SELECT DISTINCT l_returnflag, sha256(CAST(l_orderkey AS VARCHAR)) h FROM lineitem), n AS (SELECT l_returnflag, count(*) n FROM d GROUP BY 1),
+    k AS (SELECT l_returnflag, ('0x' || h[1:13])::UBIGINT / 16.0 ** 13 AS edge FROM d QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY h) = 256)
+    SELECT n.l_returnflag, round(CASE WHEN n <= 500 THEN n ELSE 255 / edge END, 3) AS cardinality, n <= 500 AS is_exact FROM n LEFT JOIN k ON n.l_returnflag = k.l_returnflag
+    """
+)
+def kmv_cardinality(spark, sf_dir):
+    out = nested.kmv_cardinality(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", 500, 256)
+    return out.withColumn("cardinality", F.round("cardinality", 3))
+
+
+@registered("SELECT doc_id, substr(sha1(concat_ws('|', source, lang, CAST(doc_id AS VARCHAR))), 1, 24) AS stable_id, substr(sha256(concat_ws('|', 'ns', source, CAST(doc_id AS VARCHAR))), 1, 24) AS namespaced FROM documents")
+def stable_ids(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", keys.stable_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("stable_id"), keys.namespaced_id("ns", F.col("source"), F.col("doc_id")).alias("namespaced"))
+
+
+@registered(
+    """
+    SELECT CAST(greatest(m, DATE '2020-02-10') AS DATE) AS window_start, CAST(least(m + INTERVAL 3 MONTH - INTERVAL 1 DAY, DATE '2021-05-20') AS DATE) AS window_end
+    FROM (SELECT unnest(generate_series(TIMESTAMP '2020-01-01', TIMESTAMP '2021-05-20', INTERVAL 3 MONTH)) m)
+    """
+)
+def calendar_windows(spark, sf_dir):
+    return dates.windows(spark, "2020-02-10", "2021-05-20", "quarter")
+
+
+@registered(
+    """
+    SELECT o_orderkey, l_linenumber, score, CASE WHEN score >= 8 AND margin >= 2 THEN 'exact' WHEN score IS NULL THEN 'absent' WHEN margin < 2 THEN 'ambiguous' ELSE 'probable' END AS bridge_status
+    FROM orders LEFT JOIN (SELECT l_orderkey, l_linenumber, score, score - coalesce(lead(score) OVER w, 0) margin, row_number() OVER w r FROM (
+      SELECT l_orderkey, l_linenumber, 6 * CAST(l_returnflag = 'R' AS INT) + 3 * CAST(l_quantity > 25 AS INT) + CAST(l_discount > 0.05 AS INT) score FROM lineitem) WHERE score > 0 WINDOW w AS (PARTITION BY l_orderkey ORDER BY score DESC, l_linenumber)) ON l_orderkey = o_orderkey AND r = 1
+    """
+)
+def score_margin_bridge(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").withColumn("o_orderkey", F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount")
+    evidence = [(F.col("l_returnflag") == "R", 6), (F.col("l_quantity") > 25, 3), (F.col("l_discount") > 0.05, 1)]
+    out = intervals.score_bridge(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_linenumber", ["o_orderkey"], evidence)
+    return out.select("o_orderkey", "l_linenumber", "score", "bridge_status")
