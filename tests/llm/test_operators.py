@@ -1,0 +1,360 @@
+"""The operators against brute force, round trips and held-out labels."""
+
+import hashlib
+import io
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import SF_DIR
+
+from verbatim.llm import decontaminate, license_scan, mixing, ngram_join, pii, quality, substring_dedup, token_table, toxicity
+from verbatim.llm.queries import QUERIES
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    return {r.doc_id: r.text or "" for r in rows}
+
+
+def test_mix(spark):
+    got = QUERIES["op1_mix_sources"](spark, SF_DIR).collect()
+    again = QUERIES["op1_mix_sources"](spark, SF_DIR).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    size, taken, target = Counter(), Counter(), {}
+    for r in got:
+        size[source[r.doc_id]] += r.size
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert r.taken <= 3 * r.size
+    want, names, total = {}, sorted(size), sum(size.values())
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    free, left = set(names), float(total)
+    while True:
+        share = left / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        want |= {s: 3.0 * size[s] for s in over}
+        left -= sum(3.0 * size[s] for s in over)
+        free -= over
+    want |= {s: share * weight[s] for s in free}
+    longest = max(r.size for r in got)
+    for s in names:
+        assert target[s] == pytest.approx(want[s])
+        assert abs(taken[s] - want[s]) <= longest
+
+
+def test_flight_keeps_totals():
+    rng = np.random.default_rng(1)
+    size, p = rng.integers(0, 900, 500).astype(float), np.full(500, 0.37)
+    out = mixing.flight(size, p, rng)
+    assert ((out > 0) & (out < 1)).sum() <= 2
+    assert out.sum() == pytest.approx(p.sum()) and (out * size).sum() == pytest.approx((p * size).sum())
+    mean = np.mean([mixing.land(size[:40], p[:40], np.random.default_rng(i)) for i in range(400)])
+    assert mean == pytest.approx(0.37, abs=0.03)
+
+
+def test_vectors(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    place = {v: i for i, v in enumerate(ids.tolist())}
+    hits = total = 0
+    got: dict[int, list] = {}
+    for r in QUERIES["op2_vector_search"](spark, SF_DIR).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r)
+    for q in ids[ids % 20 == 0].tolist():
+        score = x @ x[place[q]]
+        score[place[q]] = -np.inf
+        best = sorted(range(len(ids)), key=lambda i: (-score[i], ids[i]))[:20]
+        found = got[q]
+        assert [r.rank for r in found] == list(range(1, 21))
+        assert all(r.score == pytest.approx(float(score[place[r.vec_id]]), abs=1e-12) for r in found)
+        assert [(-r.score, r.vec_id) for r in found] == sorted((-r.score, r.vec_id) for r in found)
+        hits += len({r.vec_id for r in found} & {int(ids[i]) for i in best})
+        total += 20
+    assert hits / total >= 0.9
+
+
+def test_token_table(spark, texts):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_table.vocabulary_path())
+    got = {r.doc_id: r for r in QUERIES["op3_token_table"](spark, SF_DIR).collect()}
+    at = 0
+    for doc_id, text in texts.items():
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        r = got[doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_words_encode_as_texts():
+    whole = token_table.encoder(token_table.vocabulary_path())
+    for word in ["don't", "It'S", "naïve", "A1b22", "<|endoftext|>", "x<|startoftext|>y", "İstanbul", "ΣΑΣ", "中文", "é", " a", "...!?", "\U0001f600", "ﬁn"]:
+        assert list(whole.ids_of(word)) == whole.whole.encode(word, add_special_tokens=False).ids
+
+
+def test_shard_lookup():
+    out = io.BytesIO()
+    writer = token_table.ShardWriter(out, block_bytes=64)
+    rows = [(None, [9]), (-5, [1, 2]), (3, list(range(70_000, 70_020))), (3, [7]), *[(i, [i]) for i in range(10, 200, 2)]]
+    for doc_id, ids in rows:
+        writer.add(token_table.key_bytes(doc_id), np.array(ids, np.int64))
+    writer.finish()
+    shard = token_table.Shard(out)
+    assert [(token_table.key_id(k), v.tolist()) for k, v in shard] == rows
+    assert len(shard.blocks) > 3 and shard.n_docs == len(rows)
+    assert [x.tolist() for x in shard.lookup(3)] == [rows[2][1], [7]]
+    assert [x.tolist() for x in shard.lookup(None)] == [[9]] and shard.lookup(11) == [] and shard.lookup(1000) == []
+    assert sum(shard.may_hold(i) for i in range(11, 2011, 2)) < 60
+    with pytest.raises(ValueError):
+        writer.add(token_table.key_bytes(1), np.array([1]))
+
+
+def brute_alignment(item, text):
+    best = 0
+    score = np.zeros((len(item) + 1, len(text) + 1), int)
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(text, 1):
+            score[i, j] = max(0, score[i - 1, j - 1] + (2 if a == b else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+            best = max(best, score[i, j])
+    return best
+
+
+def test_alignment():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        item, text = rng.integers(1, 6, rng.integers(1, 12)).astype(np.uint64), rng.integers(1, 6, rng.integers(1, 20)).astype(np.uint64)
+        best, first, end = decontaminate.align(item[None], text[None])
+        assert best[0] == brute_alignment(item, text)
+        if best[0]:
+            assert brute_alignment(item, text[first[0] : end[0]]) == best[0]
+
+
+def test_edited_copies(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(400)]
+    items = [[str(x) for x in rng.choice(words, 40)] for _ in range(6)]
+    docs = []
+    for i, item in enumerate(items):
+        edited = [w if k % 8 else "changed" for k, w in enumerate(item)]
+        del edited[13]
+        docs.append((i, " ".join([*rng.choice(words, 300), *edited, *rng.choice(words, 300)])))
+        docs.append((100 + i, " ".join(rng.choice(words, 600))))
+    found = decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(i, i) for i in range(6)]
+    assert all(abs(r.first_word - 301) <= 2 for r in found)
+
+
+def test_benchmark_passages(spark, texts):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
+    exact = {(d, i) for d, t in texts.items() for i, u in items.items() if u in t}
+    assert exact <= {(r.doc_id, r.item_id) for r in QUERIES["op4_decontaminate"](spark, SF_DIR).collect()}
+
+
+@pytest.mark.parametrize("name,label,least", [("op5_toxicity", "toxic", 0.9), ("op6_quality", "quality", 0.95)])
+def test_held_out(spark, name, label, least):
+    folder = SF_DIR.replace("sf0.001", "sf0.01")
+    labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = QUERIES[name](spark, folder).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([a == b for a, b in held]) >= least
+
+
+def test_exact_neighbours():
+    rng = np.random.default_rng(3)
+    vectors = rng.random((500, 30)) * (rng.random((500, 30)) < 0.2)
+    vectors /= np.maximum(1e-12, np.sqrt((vectors**2).sum(1)))[:, None]
+    vectors[100] = vectors[5]
+    index = toxicity.BlockMaxIndex(vectors)
+    for q in vectors[:40]:
+        at = np.flatnonzero(q)
+        found, cosine = index.nearest(at, q[at], 10)
+        score = vectors[:, at] @ q[at]
+        want = [i for i in sorted(range(500), key=lambda i: (-round(score[i], 12), i))[:10] if score[i] > 0]
+        assert cosine == pytest.approx(score[want]) and set(found) == set(want)
+
+
+def test_attention_gradient():
+    rng = np.random.default_rng(5)
+    model = quality.AttentionModel(6)
+    n, y, w = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    x = rng.normal(size=(8, 6))
+
+    def loss():
+        logit, *_ = model.forward(x, n)
+        return float((w * (np.log1p(np.exp(logit)) - y * logit)).sum() / 3)
+
+    for k, g in model.gradient(x, n, y, w).items():
+        flat = model.p[k].reshape(-1)
+        for i in range(0, len(flat), 7):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def reference_spans(text):
+    out = []
+    for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if (k == 1 and any(int(x) > 255 for x in m[0].split("."))) or (k == 2 and not (12 <= len(d) <= 19 and pii.luhn(d))) or (k == 3 and not 9 <= len(d) <= 15):
+                continue
+            out.append((m.start(), m.end(), k))
+    return sorted(out, key=lambda s: (s[0], s[2]))
+
+
+def test_fixed_patterns(texts):
+    odd = ["+b.c+d@e.f a@b.c+d@e.f", "1.2.3.4.5.6.7.8 01.2.3.004", "4-4 5 6", "@@a@b..c a@b.c.", "+1(((5 +12 3456789 012", "x@y.z@w.v", "é@a.b ü+49 151 2345678", "4111 1111 1111 1111-4111111111111111"]
+    rng = np.random.default_rng(6)
+    odd += ["".join(rng.choice(list("a1@.+- 25"), 60)) for _ in range(300)]
+    for text in [*odd, *texts.values()]:
+        assert pii.base_spans(text) == reference_spans(text)
+
+
+def test_tagger_gradient():
+    rng = np.random.default_rng(7)
+    tagger = pii.Tagger()
+    code, tags = rng.integers(0, pii.CLASSES, (3, 7)), rng.integers(0, pii.TAGS, (3, 7))
+
+    def loss():
+        e, _ = tagger.emissions(code)
+        a = e[:, 0] + tagger.p["s"]
+        gold = a[np.arange(3), tags[:, 0]].copy()
+        for t in range(1, 7):
+            a = e[:, t] + pii._logsum(a[:, :, None] + tagger.p["t"], 1)
+            gold += tagger.p["t"][tags[:, t - 1], tags[:, t]] + e[np.arange(3), t, tags[:, t]]
+        return float((pii._logsum(a, 1) - gold).sum() / 3)
+
+    for k, g in tagger.gradient(code, tags).items():
+        flat = tagger.p[k].reshape(-1)
+        for i in range(0, len(flat), max(1, len(flat) // 6)):
+            old = flat[i]
+            flat[i] = old + 1e-5
+            up = loss()
+            flat[i] = old - 1e-5
+            down = loss()
+            flat[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=2e-5)
+
+
+def test_tagger_finds_held_out_spans():
+    tagger = pii.trained()
+    found = made = right = 0
+    for text, spans in pii.training_text(200, seed=99):
+        tags = tagger.decode(tagger.emissions(pii.classes(text)[None])[0])[0]
+        got, t = set(), 0
+        while t < len(tags):
+            start = t
+            t += 1
+            if tags[start]:
+                kind = int(tags[start] - 1) // 2
+                while t < len(tags) and tags[t] == 2 + 2 * kind:
+                    t += 1
+                got.add((start, t, kind))
+        found, made, right = found + len(got), made + len(spans), right + len(got & set(spans))
+    assert right / found > 0.7 and right / made > 0.7
+
+
+def test_personal_data_rows(spark, texts):
+    for r in pii.find_personal_data(spark.read.parquet(f"{SF_DIR}/documents.parquet")).collect():
+        base = reference_spans(texts[r.doc_id])
+        listed = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert set(listed.split(",")) - {""} <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("length", [5, 35])
+def test_substrings(spark, texts, length):
+    words = {d: WORD.findall(t.encode()) for d, t in texts.items()}
+    seen = Counter(tuple(w[i : i + length]) for w in words.values() for i in range(len(w) - length + 1))
+    for r in substring_dedup.remove_repeats(spark.read.parquet(f"{SF_DIR}/documents.parquet"), length).collect():
+        w = words[r.doc_id]
+        gone = np.zeros(len(w), bool)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = True
+        assert (r.n_words, r.n_removed, r.kept) == (len(w), gone.sum(), b" ".join(x for x, g in zip(w, gone, strict=True) if not g))
+
+
+def brute_components(sets, need, of):
+    part = {d: d for d in sets}
+
+    def find(d):
+        while part[d] != d:
+            d = part[d]
+        return d
+
+    holds: dict = {}
+    for d, s in sets.items():
+        both = Counter(e for g in s for e in holds.get(g, ()))
+        for e, n in both.items():
+            if of * n >= need * (len(s) + len(sets[e]) - n):
+                a, b = sorted((find(d), find(e)))
+                part[b] = a
+        for g in s:
+            holds.setdefault(g, []).append(d)
+    return {d: find(d) for d in sets}
+
+
+def shingles(text, k):
+    w = WORD.findall(text.translate(LOWER).encode())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("k,need", [(4, 85), (5, 80)])
+def test_similarity_join(spark, texts, k, need):
+    rng = np.random.default_rng(8)
+    own = dict(texts)
+    base = [str(x) for x in rng.integers(0, 50, 60)]
+    for i in range(150):  # a chain of edits, sizes from one word on, and a group with more members than PAIRED
+        base = [*base[:-1], str(rng.integers(0, 50))] if i % 3 else [str(rng.integers(0, 50)), *base[1:]]
+        own[10_000 + i] = " ".join(base)
+        own[20_000 + i] = " ".join(f"x{j}" for j in range(i % 40))
+        own[30_000 + i] = " ".join(f"y{j}" if j != i else "z" for j in range(200))
+    sets = {d: shingles(t, k) for d, t in own.items()}
+    want = brute_components(sets, need, 100)
+    rows = ngram_join.similarity_classes(spark.createDataFrame(list(own.items()), "doc_id long, text string"), k, need, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {d: (len(sets[d]), want[d]) for d in own}
+
+
+def test_licenses(spark, texts):
+    for r in QUERIES["op10_license_scan"](spark, SF_DIR).collect():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate(LOWER))
+        places = [(i, label) for label, p in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        at = [i for i, _ in places]
+        names = sorted({x for _, x in places})
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(names))
+        assert set(names) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_edited_license(spark):
+    text = "x Redistribution and use in source and binary forms, with or without any modification, are permitted y"
+    row = license_scan.scan_licenses(spark.createDataFrame([(1, text), (2, "use in forms")], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert row[0].labels == "bsd" and row[0].score > 0.8 and row[1].labels == ""
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = corpus_pipeline.good_documents(spark, docs, SF_DIR)
+    assert good.columns == docs.columns
+    kept = {r.doc_id for r in good.collect()}
+    assert np.mean([(d in kept) == bool(q) for d, q in labels.items()]) > 0.9
+    rows = corpus_pipeline.run(spark, SF_DIR).collect()
+    assert 0 < len(rows) and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)

@@ -170,8 +170,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: floa
     """The documents, all columns kept, in which no item is found."""
     names = docs.columns
     found = find_items(docs, benchmark, least_score).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie"))
-    return docs.join(found, on, "left_anti").select(*names)
+    whole = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("_t"), F.col("doc_id").alias("_d"))
+    on = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tie"))
+    return whole.join(found, on, "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -149,14 +149,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     # Equal rows of one source may differ in copies; number them on both sides, so that each meets its own.
     key = ["_id", "_tie", "_source"]
     nth = Window.partitionBy(*key).orderBy(F.lit(0))
-    left = docs.select("*", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("source").alias("_source"))
+    left = docs.select(F.struct(*names).alias("whole_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("source").alias("_source"))
     per = take.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source"), "copies").groupBy(*key, "copies").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("_to", F.sum("n").over(Window.partitionBy(*key).orderBy("copies"))).withColumn("_from", F.col("_to") - F.col("n"))
     per = per.select(*[F.col(k).alias(f"{k}2") for k in key], "copies", "_from", "_to")
     left = left.withColumn("_nth", F.row_number().over(nth) - 1)
     on = [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in key]
     joined = left.join(per, [*on, F.col("_nth") >= F.col("_from"), F.col("_nth") < F.col("_to")])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole_row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -387,9 +387,10 @@ def keep_one_each(docs: DataFrame, k: int = 5, need: int = 80, of: int = 100) ->
     kept = classes.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("m")).select("m.doc_id", "m.tie", F.lit(True).alias("one"))
     bare = classes.filter(F.col("component").isNull()).select("doc_id", "tie", F.lit(False).alias("one")).distinct()
     keys = cut(kept.unionByName(bare).select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), F.col("one").alias("_one")))
-    found = docs.withColumn("_t", F.xxhash64("text")).join(keys, (F.col("_t") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    one = found.filter("_one").groupBy("_id", "_tie").agg(F.first(F.struct(*names)).alias("row")).select("row.*")
-    return one.unionByName(found.filter("not _one").select(*names))
+    whole = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("_t"), F.col("doc_id").alias("_d"))
+    found = whole.join(keys, (F.col("_t") == F.col("_tie")) & F.col("_d").eqNullSafe(F.col("_id")))
+    one = found.filter("_one").groupBy("_id", "_tie").agg(F.first("row").alias("row"))
+    return one.select("row").unionByName(found.filter("not _one").select("row")).select("row.*")
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from .labelled import held_out, learning_sample
 from .textkit import NOT_TERM, chunks, mix, span_hashes
 
 #: Labelled rows of either class that are learned from.
-EXAMPLES = 4000
+EXAMPLES = 2500
 NEIGHBOURS = 15
 PREFIXES = (4, 5, 6, 7)
 BLOCK = 64
