@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ def selection_key(seed: str, identity: Column) -> Column:
 
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and no blanks; null where it isn't JSON."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(column: pd.Series) -> pd.Series:
         def one(x):

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,8 +152,6 @@ def parent_path(path: Column) -> Column:
 
 def redact(text: Column, most: int = 200) -> Column:
     """JSON text with each string longer than ``most`` replaced by its length and hash; the structure stays."""
-    import pandas as pd
-
     def clean(v):
         if isinstance(v, dict):
             return {k: clean(x) for k, x in v.items()}

@@ -31,7 +31,8 @@ def json_lines_fast(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def json_lines_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records as in json_lines; the job fails at the first line that isn't an object, naming file and line."""
     good, bad = json_lines(spark, path)
-    stop = bad.select("file", "line_number", "line", F.raise_error(F.concat("file", F.lit(":"), F.col("line_number").cast("string"), F.lit(": "), "reason")).cast("variant").alias("record"))
+    place = F.concat("file", F.lit(":"), F.col("line_number").cast("string"), F.lit(": "), "reason")
+    stop = bad.filter(F.raise_error(place).cast("string").isNull()).select("file", "line_number", "line", F.lit(None).cast("variant").alias("record"))
     return good.unionByName(stop)
 
 
@@ -44,10 +45,20 @@ def json_documents(spark: SparkSession, path: str | list[str], most_bytes: int =
 
 
 def csv_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, rejections) of CSV with a header; rows of other widths or types are rejected, whole."""
+    """(records, rejections) of CSV with a header; rows of other widths or types are rejected, whole.
+
+    A record is a line: quoted line breaks aren't read. All files have the first one's header.
+    """
     bad = "_rejected"
-    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField(bad, T.StringType())])).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=bad)
-    return rows.filter(F.col(bad).isNull()).drop(bad), rows.filter(F.col(bad).isNotNull()).select(F.col(bad).alias("line"))
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    header = lines.first()
+    if header is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], "line string")
+    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide)
+    parsed = F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    rows = lines.filter(F.col("value") != header[0]).select("value", parsed.alias("r"))
+    return rows.filter(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad), rows.filter(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("line"))
 
 
 def parquet_columns(spark: SparkSession, path: str | list[str], wanted: list[str], required: list[str] | None = None) -> DataFrame | None:
