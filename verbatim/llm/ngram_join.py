@@ -12,9 +12,10 @@ for only two such sets can be linked without an equal piece that holds something
 There are some pieces more than that, so linked sets agree in several: a pair from the groups of
 equal keys is kept if its equal pieces, counted over all groups, are as many as the two sets' own
 empty pieces leave certain, and it is verified exactly. Groups of more than PAIRED members, whose
-pairs would grow with their square, go another way: each member is verified against one hub of its
-groups, what is linked becomes one component, and only members of a group that are in different
-components are compared, in blocks, by Hamming distance of their whole sketches, then verified.
+pairs would grow with their square, go another way: in a few rounds each member is verified against
+one hub of its groups and what is linked becomes one component; then only members of a group that
+are in different components still are compared, in blocks, by Hamming distance of their whole
+sketches, and verified.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ BUCKET_BYTES = 16 << 20
 BLOCK = 1024
 #: Members up to which a group's pairs are counted one by one.
 PAIRED = 32
+#: Rounds in which a large group's members are verified against a hub before all that are still apart are compared.
+ROUNDS = 1
 
 
 def shingle_sets(c, k: int):
@@ -278,12 +281,16 @@ def _verify(need: int, of: int):
 
 
 def _near(need: int, of: int):
-    """Pairs of members of two blocks of a group that are in different components and near enough by their sketches."""
+    """Pairs of members of two blocks of a group that are in different components and near enough by their sketches.
+
+    A pair meets in as many groups as it has pieces in common; it comes from the one with the least number.
+    """
 
     def run(frames):
         for pdf in frames:
             a, b = [], []
-            for left, right, same in zip(pdf["left"], pdf["right"], pdf["same"], strict=True):
+            for gid, left, right, same in zip(pdf["gid"], pdf["left"], pdf["right"], pdf["same"], strict=True):
+                right_gids = [frozenset(np.asarray(r["gids"]).tolist()) for r in right]
                 right_nodes = np.array([r["node"] for r in right])
                 right_parts = np.array([r["component"] for r in right])
                 right_n = np.array([r["n"] for r in right])
@@ -292,6 +299,7 @@ def _near(need: int, of: int):
                     by_bits.setdefault(len(r["sketch"]), []).append(j)
                 stacks = {bits: (np.array(js), np.stack([np.frombuffer(right[j]["sketch"], "<u8") for j in js])) for bits, js in by_bits.items()}
                 for i, r in enumerate(left):
+                    own_gids = right_gids[i] if same else frozenset(np.asarray(r["gids"]).tolist())
                     own = np.frombuffer(r["sketch"], np.uint8)
                     for bits, (js, stack) in stacks.items():
                         # In the longer of two sketches bits fold onto the shorter one's.
@@ -307,6 +315,7 @@ def _near(need: int, of: int):
                         apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
                         total = right_n[at] + r["n"]
                         at = at[apart <= total - 2 * (-(-need * total // (of + need)))]
+                        at = [j for j in at.tolist() if min(own_gids & right_gids[j]) == gid]
                         a += [r["node"]] * len(at)
                         b += right_nodes[at].tolist()
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -343,9 +352,6 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     large = met.filter("members is not null").select(F.col("a").alias("hub"), F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
     groups = cut(large.select("hub", "gid", unpack("members").alias("members")))
     tied = groups.select("hub", F.explode("members").alias("node"))
-    star = tied.filter("node <> hub").groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
-    star = cut(star.unionByName(likely).distinct())
-
     # The set of each node of a pair or large group, from the text of one document that has it.
     picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
@@ -357,20 +363,31 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_verify(need, of), "a long, b long")
 
-    links = cut(verified(star))
-    parts = connected(links)
-    spread = groups.select("gid", F.explode("members").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("gid")
-    rest = cut(spread.join(open_groups, "gid"))
+    links = cut(verified(likely))
+    parts = cut(connected(links))
+    for turn in range(ROUNDS + 1):
+        spread = groups.select("gid", F.explode("members").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")
+        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), first).filter("x <> y").select("gid", "h.hub", "h.hub_component")
+        rest = cut(spread.join(open_groups, "gid"))
+        if turn == ROUNDS or rest.isEmpty():
+            break
+        # Of the hubs of its groups, each member is verified against the one it meets most often.
+        apart = rest.filter("component <> hub_component").groupBy("node", "hub").count()
+        star = cut(apart.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b")))
+        links = cut(links.unionByName(verified(star)))
+        parts = cut(connected(links))
     if not rest.isEmpty():
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
-        of_group = rest.join(sketches, "node")
-        in_group = of_group.select("gid", F.struct("node", "component", "n", "sketch").alias("m"), F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("spot"))
+        # A set has no more groups than pieces.
+        meets = rest.groupBy("node").agg(F.collect_set("gid").alias("gids"))
+        of_group = rest.select("gid", "node", "component").join(sketches.join(meets, "node"), "node")
+        in_group = of_group.select("gid", F.struct("node", "component", "n", "sketch", "gids").alias("m"), F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("spot"))
         counted = in_group.join(in_group.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).alias("blocks")), "gid")
         blocks = counted.groupBy("gid", F.pmod("spot", "blocks").alias("block")).agg(F.collect_list("m").alias("members"))
         left = blocks.select("gid", F.col("block").alias("i"), F.col("members").alias("left"))
         right = blocks.select("gid", F.col("block").alias("j"), F.col("members").alias("right"))
-        pairs = left.join(right, "gid").filter("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+        pairs = left.join(right, "gid").filter("i <= j").select("gid", "left", "right", (F.col("i") == F.col("j")).alias("same"))
         pairs = pairs.mapInPandas(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(pairs)
         parts = connected(links.unionByName(more))
