@@ -368,7 +368,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     for turn in range(ROUNDS + 1):
         spread = groups.select("gid", F.explode("members").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")
-        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), first).filter("x <> y").select("gid", "h.hub", "h.hub_component")
+        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n_members"), first).filter("x <> y").select("gid", "n_members", "h.hub", "h.hub_component")
         rest = cut(spread.join(open_groups, "gid"))
         if turn == ROUNDS or rest.isEmpty():
             break
@@ -381,10 +381,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
         # A set has no more groups than pieces.
         meets = rest.groupBy("node").agg(F.collect_set("gid").alias("gids"))
-        of_group = rest.select("gid", "node", "component").join(sketches.join(meets, "node"), "node")
-        in_group = of_group.select("gid", F.struct("node", "component", "n", "sketch", "gids").alias("m"), F.pmod(F.xxhash64("node"), F.lit(1 << 20)).alias("spot"))
-        counted = in_group.join(in_group.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)).alias("blocks")), "gid")
-        blocks = counted.groupBy("gid", F.pmod("spot", "blocks").alias("block")).agg(F.collect_list("m").alias("members"))
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / (BLOCK // 2))).alias("block")
+        of_group = rest.select("gid", "node", "component", block).join(sketches.join(meets, "node"), "node")
+        blocks = of_group.groupBy("gid", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "gids")).alias("members"))
         left = blocks.select("gid", F.col("block").alias("i"), F.col("members").alias("left"))
         right = blocks.select("gid", F.col("block").alias("j"), F.col("members").alias("right"))
         pairs = left.join(right, "gid").filter("i <= j").select("gid", "left", "right", (F.col("i") == F.col("j")).alias("same"))
