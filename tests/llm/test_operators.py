@@ -154,6 +154,29 @@ def test_edited_copies(spark):
     assert all(abs(r.first_word - 301) <= 2 for r in found)
 
 
+def test_edited_copies_from_half_a_score(spark):
+    """Every aligned copy of 0.5 to 0.8 that holds three equal words in a row is found, with its score."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(400)]
+    items = [[str(x) for x in rng.choice(words, 40)] for _ in range(12)]
+    edits = [lambda x: [w if (k + 1) % 4 else "changed" for k, w in enumerate(x)], lambda x: [w if (k + 1) % 5 else "changed" for k, w in enumerate(x)]]
+    edits += [lambda x: x[:20], lambda x: x[:21], lambda x: x[12:40], lambda x: [y for k, w in enumerate(x) for y in ([w, "more"] if k % 3 == 2 else [w])]]
+    edits += [lambda x: [*x[:20], *["more"] * 30, *x[20:]]]
+    edits += [lambda x: [w if rng.random() < 0.82 else "changed" for w in x]] * 3
+    texts = [[str(w) for w in [*rng.choice(words, 90), *edit(item), *rng.choice(words, 90)]] for edit in edits for item in items]
+    number = {w: i for i, w in enumerate([*words, "changed", "more"], 1)}
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            best = brute_alignment([number[w] for w in item], [number[w] for w in text]) if d % len(items) == i else 0
+            if best >= 40 and {*zip(item, item[1:], item[2:], strict=False)} & {*zip(text, text[1:], text[2:], strict=False)}:
+                want[d, i] = best / 80
+    assert len(want) > 90 and sum(0.5 <= x <= 0.8 for x in want.values()) > 80
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(texts)], "doc_id long, text string")
+    found = decontaminate.find_items(docs, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in found} == want
+
+
 def test_benchmark_passages(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
     exact = {(d, i) for d, t in texts.items() for i, u in items.items() if u in t}

@@ -1,10 +1,10 @@
 """Benchmark items inside training documents, whole or edited.
 
-Word n-grams of the items are seeds. Their places in all documents are found by hash, and each item
-keeps the rarer half of its seeds, counted over the corpus, so that an item whose copies are many
-still has seeds and common turns of phrase start nothing. A seed at document word p and item word q
-proposes that the item begins near p - q; the proposal is checked by Smith-Waterman alignment of the
-item's words with the document's words around it.
+All word trigrams of the items are seeds, and their places in all documents are found by hash. A seed
+at document word p and item word q proposes that the item begins near p - q; the proposal is checked by
+Smith-Waterman alignment of the item's words with the document's words around it. An alignment without
+three equal words in a row has no seed and isn't found. Of m item words, some left out or replaced, such
+a one scores 0.5 + 1 / m at most; with words put in between, up to about 0.75.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ LEAST_SCORE = 0.5
 #: Most seeds for which a table of bits goes to all tasks; beyond it every n-gram goes to the join.
 MOST_SENT = 4_000_000
 BITS = 24
-TOGETHER = 256
+#: Alignments made at once, and the most words of text in them together (a longer one is made alone).
+TOGETHER, WORDS_TOGETHER = 256, 1 << 17
 
 
 def _items(batches):
@@ -107,21 +108,23 @@ def _check(least_score: float):
 
     def run(batches):
         for batch in batches:
-            tasks = []
+            tasks, wide = [], 0
             for doc_id, tie, text, proposals in zip(*(batch.column(i) for i in range(4)), strict=True):
                 raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
                 raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw + 32, raw).astype(np.uint8)
                 words = word_hashes(split_words(0, raw, np.array([0, len(raw)]), NOT_TERM))
                 for p in proposals.as_py():
                     item = np.frombuffer(p["words"], "<u8")
-                    pad = len(item) // 2 + 2
+                    # An alignment of the least score has no more words of the text left out of the item.
+                    pad = int(np.ceil(MATCH * len(item) * (1 - least_score))) + 1
                     starts = np.sort(np.array(p["starts"]))
                     for part in np.split(starts, np.flatnonzero(np.diff(starts) > pad) + 1):
                         a, b = max(0, part[0] - pad), part[-1] + len(item) + pad
+                        if tasks and (len(tasks) >= TOGETHER or (len(tasks) + 1) * max(wide, b - a) > WORDS_TOGETHER):
+                            yield flush(tasks)
+                            tasks, wide = [], 0
                         tasks.append((doc_id.as_py(), tie.as_py(), p["item_id"], item, words[a:b], a))
-                    if len(tasks) >= TOGETHER:
-                        yield flush(tasks)
-                        tasks = []
+                        wide = max(wide, b - a)
             if tasks:
                 yield flush(tasks)
 
@@ -149,13 +152,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
         table[(known >> np.uint64(64 - BITS)).astype(np.int64)] = True
         bits = spark.sparkContext.broadcast(table)
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    places = rows.mapInArrow(_places(bits), "doc_id long, tie long, seed long, p long").join(distinct, "seed")
-    places = cut(places.groupBy("doc_id", "tie", "seed", "p").agg(F.count(F.lit(1)).alias("rows")))
-    often = places.groupBy("seed").agg(F.sum("rows").alias("often"))
-    order = Window.partitionBy("item").orderBy(F.coalesce("often", F.lit(0)), "seed", "q")
-    ranked = seeds.join(often, "seed", "left").withColumn("nth", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("item")))
-    rare = ranked.filter(F.col("nth") <= F.ceil(F.col("of") / 2)).select("item", "seed", "q")
-    hits = places.join(rare, "seed").groupBy("doc_id", "tie", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("starts"))
+    places = rows.mapInArrow(_places(bits), "doc_id long, tie long, seed long, p long")
+    hits = places.join(seeds, "seed").groupBy("doc_id", "tie", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("starts"))
     proposals = hits.join(items.select("item", "item_id", "words"), "item").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("item_id", "words", "starts")).alias("proposals"))
     once = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy(F.lit(0)))
     proposals = cut(proposals.select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), "proposals"))
