@@ -1,9 +1,11 @@
 import datetime
 
 import pytest
+from conftest import SF_DIR
 from pyspark.sql import functions as F
 
 from verbatim.operators import census, dedup, intervals, nested, reconcile, sampling, segment, stats
+from verbatim.queries import QUERIES
 
 
 def test_interval_statuses(spark):
@@ -102,3 +104,13 @@ def test_conservation(spark):
     inside, where = census.date_cut(rows, "d", "2020-01-01", "2020-12-31")
     total = census.conservation(rows, where).first()
     assert inside.count() == total.within == 1 and total.n_rows == total.within + total.before + total.after + total.invalid == 4
+
+
+def test_joins_of_whole_tables(spark):
+    """The queries named _all take every event and every order."""
+    ids = {t: {r[0] for r in spark.read.parquet(f"{SF_DIR}/{t}.parquet").select(c).collect()} for t, c in (("events", "event_id"), ("orders", "o_orderkey"))}
+    for name, t in (("interval_join_inclusive_all", "events"), ("interval_join_halfopen_ties_all", "events"), ("unique_bridge_all", "orders"), ("baseline_changes_all", "orders")):
+        rows = QUERIES[name](spark, SF_DIR)
+        assert {r[0] for r in rows.select(rows.columns[0]).collect()} >= ids[t], name
+    counts = QUERIES["linked_records_all"](spark, SF_DIR).first()
+    assert counts.matched + counts.ambiguous + counts.only_left >= len(ids["orders"])

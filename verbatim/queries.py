@@ -314,6 +314,34 @@ def interval_join_halfopen_ties(spark, sf_dir):
     return best.select("event_id", F.col("interval_event_type").alias("event_type"), F.col("interval_valid_from").alias("valid_from"))
 
 
+@registered(
+    f"""
+    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events)
+    SELECT q.event_id, spans.event_type AS state, CAST(count(spans.event_type) AS BIGINT) AS n_candidates, CASE WHEN count(spans.event_type) = 0 THEN 'unmatched' ELSE 'matched' END AS status
+    FROM q LEFT JOIN spans ON q.user_id = spans.user_id AND q.d BETWEEN valid_from AND valid_to GROUP BY q.event_id, spans.event_type
+    """
+)
+def interval_join_inclusive_all(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"))
+    joined = intervals.interval_join(asked, _states(spark, sf_dir), ["user_id"], "event_id", "d", "valid_from", "valid_to")
+    return joined.select("event_id", F.col("interval_event_type").alias("state"), "n_candidates", "status")
+
+
+@registered(
+    f"""
+    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events), c AS (
+      SELECT q.event_id, s.event_type, s.valid_from, rank() OVER (PARTITION BY q.event_id ORDER BY (day(s.valid_from) % 3) + 1) r
+      FROM q JOIN spans s ON q.user_id = s.user_id AND q.d >= s.valid_from AND q.d < s.valid_from + 10)
+    SELECT event_id, event_type, CAST(valid_from AS DATE) AS valid_from FROM c WHERE r = 1
+    """
+)
+def interval_join_halfopen_ties_all(spark, sf_dir):
+    asked = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"))
+    spans = _states(spark, sf_dir).select("user_id", "event_type", "valid_from", F.date_add("valid_from", 10).alias("valid_end"), (F.day("valid_from") % 3 + 1).alias("prio"))
+    best = intervals.best_candidates(asked, spans, ["user_id"], "event_id", "d", "valid_from", "valid_end", "prio")
+    return best.select("event_id", F.col("interval_event_type").alias("event_type"), F.col("interval_valid_from").alias("valid_from"))
+
+
 @registered(
     """
     SELECT l_orderkey, greatest(min(CAST(l_shipdate AS DATE)), DATE '1995-01-01') AS clip_start, max(least(CAST(l_shipdate AS DATE) + 30, DATE '1995-06-30')) AS clip_end, count(*) AS n_intervals
@@ -386,6 +414,42 @@ def unique_bridge(spark, sf_dir):
     return reconcile.unique_bridge(table(spark, sf_dir, "customer").select("c_custkey"), targets, "c_custkey", "o_orderkey").select("c_custkey", "o_orderkey", "n_targets", "bridge_status")
 
 
+@registered(
+    """
+    SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'added' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'equal' END AS state
+    FROM (SELECT o_orderkey k, o_orderstatus s FROM orders) a FULL JOIN (SELECT l_orderkey k, max(l_linestatus) s FROM lineitem GROUP BY 1) b ON a.k = b.k
+    """
+)
+def baseline_changes_all(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
+    return reconcile.baseline_changes(table(spark, sf_dir, "orders"), lines, "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "state")
+
+
+@registered(
+    """
+    WITH a AS (SELECT o_orderkey k, count(*) n, min(o_orderstatus) v FROM orders GROUP BY 1), b AS (SELECT l_orderkey k, count(*) n, min(l_linestatus) v FROM lineitem GROUP BY 1),
+    j AS (SELECT a.k ak, b.k bk, (coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1) m, a.v av, b.v bv FROM a FULL JOIN b ON a.k = b.k)
+    SELECT count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL) AS matched, count(*) FILTER (m) AS ambiguous, count(*) FILTER (NOT m AND bk IS NULL) AS only_left,
+      count(*) FILTER (NOT m AND ak IS NULL) AS only_right, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av = bv) AS equal, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av <> bv) AS different
+    FROM j
+    """
+)
+def linked_records_all(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"))
+    return reconcile.linked_records(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", "o_orderstatus")
+
+
+@registered(
+    """
+    SELECT o.o_orderkey, CASE WHEN n = 1 THEN t END AS l_partkey, coalesce(n, 0) AS n_targets, CASE WHEN n IS NULL THEN 'absent' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS bridge_status
+    FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) n, min(l_partkey) t FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey
+    """
+)
+def unique_bridge_all(spark, sf_dir):
+    targets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    return reconcile.unique_bridge(table(spark, sf_dir, "orders").select("o_orderkey"), targets, "o_orderkey", "l_partkey").select("o_orderkey", "l_partkey", "n_targets", "bridge_status")
+
+
 @registered(
     """
     SELECT doc_id, source, lang, sha256('seed-1' || chr(0) || CAST(doc_id AS VARCHAR)) AS selection_key FROM documents
