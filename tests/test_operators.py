@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from conftest import SF_DIR
@@ -114,3 +115,19 @@ def test_joins_of_whole_tables(spark):
         assert {r[0] for r in rows.select(rows.columns[0]).collect()} >= ids[t], name
     counts = QUERIES["linked_records_all"](spark, SF_DIR).first()
     assert counts.matched + counts.ambiguous + counts.only_left >= len(ids["orders"])
+
+
+@pytest.mark.parametrize("least", [0.3, 0.92])
+def test_near_duplicates_in_large_blocks(spark, least):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(30)] for _ in range(12)]
+    rows = [(i, None if i % 3 else "s", sorted({w for w in base[i % 12] if rng.random() < 0.97} | ({f"w{rng.randrange(60)}"} if i % 2 else set()))) for i in range(300)] + [(300, "s", [])]
+    want = {}
+    for i, b, u in rows:
+        for j, c, v in rows:
+            both = len({*u} & {*v})
+            if i < j and b == c and u and v and least <= both / (len(u) + len(v) - both) < 1:
+                want[i, j] = both / (len(u) + len(v) - both)
+    docs = spark.createDataFrame(rows, "id long, b string, w array<string>")
+    found = dedup.near_duplicates(docs, "id", ["b"], "w", least, most_in_block=None).collect()
+    assert want and len(found) == len(want) and {(r.left_key, r.right_key): r.similarity for r in found} == want

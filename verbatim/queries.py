@@ -269,6 +269,20 @@ def near_duplicates_blocked(spark, sf_dir):
     return dedup.near_duplicates(docs, "doc_id", ["source", "lang"], "words", least=0.3)
 
 
+@registered(
+    r"""
+    WITH d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(strip_accents(text)), '\p{L}[\p{L}\p{N}_]*')) w FROM documents)
+    SELECT * FROM (SELECT a.source, a.lang, a.doc_id AS left_key, b.doc_id AS right_key,
+      len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity
+      FROM d a JOIN d b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
+    WHERE similarity >= 0.3 AND similarity < 1
+    """
+)
+def near_duplicates_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("words", text.word_set(F.col("text")))
+    return dedup.near_duplicates(docs, "doc_id", ["source", "lang"], "words", least=0.3, most_in_block=None)
+
+
 _STATES = """
     daily AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) = 1),
     spans AS (SELECT user_id, day AS valid_from, coalesce(lead(day) OVER (PARTITION BY user_id ORDER BY day) - 1, DATE '9999-12-31') AS valid_to, event_type,
