@@ -131,3 +131,7 @@ def test_near_duplicates_in_large_blocks(spark, least):
     docs = spark.createDataFrame(rows, "id long, b string, w array<string>")
     found = dedup.near_duplicates(docs, "id", ["b"], "w", least, most_in_block=None).collect()
     assert want and len(found) == len(want) and {(r.left_key, r.right_key): r.similarity for r in found} == want
+
+
+def test_kmeans_sweep_takes_every_k(spark):
+    assert sorted(r.k for r in QUERIES["kmeans_sweep"](spark, SF_DIR).collect()) == list(range(2, 9))

@@ -591,7 +591,7 @@ def permutation_test(spark, sf_dir):
 
 @registered()
 def kmeans_sweep(spark, sf_dir):
-    return cluster.kmeans_sweep(table(spark, sf_dir, "embeddings"), "embedding", range(2, 5))
+    return cluster.kmeans_sweep(table(spark, sf_dir, "embeddings"), "embedding", range(2, 9))
 
 
 @registered(
