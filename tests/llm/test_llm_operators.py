@@ -338,8 +338,9 @@ def shingles(text, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("k,need", [(4, 85), (5, 80)])
-def test_similarity_join(spark, texts, k, need):
+@pytest.mark.parametrize("k,need,partitions", [(4, 85, 1), (5, 80, 1), (5, 80, 60)])
+def test_similarity_join(spark, texts, k, need, partitions):
+    """Groups of more than PAIRED members, met in one run of texts (one partition) or only in their bucket (sixty)."""
     rng = np.random.default_rng(8)
     own = dict(texts)
     base = [str(x) for x in rng.integers(0, 50, 60)]
@@ -350,10 +351,32 @@ def test_similarity_join(spark, texts, k, need):
         own[30_000 + i] = " ".join(f"y{j}" if j != i else "z" for j in range(200))
     sets = {d: shingles(t, k) for d, t in own.items()}
     want = brute_components(sets, need, 100)
-    rows = ngram_join.similarity_classes(spark.createDataFrame(list(own.items()), "doc_id long, text string"), k, need, 100).collect()
+    rows = ngram_join.similarity_classes(spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(partitions), k, need, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {d: (len(sets[d]), want[d]) for d in own}
 
 
+@pytest.mark.parametrize("partitions", [1, 50])
+def test_similarity_join_of_a_hot_piece(spark, partitions):
+    """A third of all sets have most pieces in common with a text, in three families that are apart; 31 to 34 copies lie on both sides of PAIRED."""
+    rng = np.random.default_rng(12)
+    own = {i: " ".join(str(x) for x in rng.integers(0, 3000, 60)) for i in range(500)}
+    for f in range(3):
+        base = [f"hot{j}" for j in range(200)]
+        base[f * 66 : f * 66 + 60] = [f"f{f}w{j}" for j in range(60)]
+        for i in range(90):
+            text = list(base)
+            for at in rng.integers(0, 200, i % 5):
+                text[at] = f"e{i}"
+            own[1000 + 100 * f + i] = " ".join(text)
+    for n in range(31, 35):
+        for i in range(n):
+            own[5000 + 100 * n + i] = " ".join([f"p{n}x{j}" for j in range(120)] + [f"q{i}"])
+    sets = {d: shingles(t, 4) for d, t in own.items()}
+    want = brute_components(sets, 85, 100)
+    docs = spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(partitions)
+    assert {r.doc_id: r.component_id for r in ngram_join.similarity_classes(docs).collect()} == want
+
+
 def test_licenses(spark, texts):
     for r in QUERIES["op10_license_scan"](spark, SF_DIR).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate(LOWER))

@@ -12,14 +12,21 @@ for only two such sets can be linked without an equal piece that holds something
 There are some pieces more than that, so linked sets agree in several: a pair from the groups of
 equal keys is kept if its equal pieces, counted over all groups, are as many as the two sets' own
 empty pieces leave certain, and it is verified exactly. Groups of more than PAIRED members, whose
-pairs would grow with their square, go another way: in a few rounds each member is verified against
-one hub of its groups and what is linked becomes one component; then only members of a group that
-are in different components still are compared, in blocks, by Hamming distance of their whole
-sketches, and verified.
+pairs would grow with their square, go another way: each member is verified against one hub of its
+groups (the member that is in most groups) and what is linked becomes one component; then only the
+members outside the hub's component are compared with their group, in blocks, by Hamming distance of
+their whole sketches, and verified. No link is lost on either way: a pair whose counted pieces fall
+short of what is certain has the others in large groups, so it meets there.
+
+A key that a map task meets in more than PAIRED sets of one run of texts reaches its bucket once,
+marked; its members go on beside the bucket, so a piece that a third of all sets share doesn't land
+in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +40,10 @@ from .textkit import chunks, mix, run_hashes, word_hashes
 WORDS, NEED, OF = 4, 85, 100
 #: Bits of one sketch piece; the fingerprint of a piece is the xor of its odd bits' numbers, mixed.
 PIECE_BITS = 1 << 20
-#: Bytes of text whose keys one bucket gets on average.
-BUCKET_BYTES = 16 << 20
-BLOCK = 1024
+#: Bytes of keys that one bucket gets on average, and bytes of text a word takes.
+BUCKET_BYTES, WORD_BYTES = 6 << 20, 6
+#: Members compared at once, and pairs counted at once.
+BLOCK, PAIRS_TOGETHER = 512, 1 << 19
 #: Members up to which a group's pairs are counted one by one.
 PAIRED = 32
 #: Rounds in which a large group's members are verified against a hub before all that are still apart are compared.
@@ -180,9 +188,23 @@ def _describe(k: int):
 
 
 _OWNER = np.dtype([("node", "<i8"), ("keys", "<u4"), ("band", "<u2"), ("sure", "<u2")])
+#: The band of keys whose other members went beside the bucket.
+MARKED = 0xFFFF
+
+
+def _beside(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys that more than PAIRED sets have: (places in order of the key, where each key begins there)."""
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    many = size > PAIRED
+    return order[np.repeat(many, size)], np.append(0, np.cumsum(size[many]))
 
 
 def _send_keys(k: int, need: int, of: int, buckets: int):
+    """Rows (bucket, owners, keys); without owners, keys is one key and members of its large group, for any bucket to hand on."""
+
     def run(batches):
         for batch in batches:
             for c in chunks(batch.column(0), lower=True):
@@ -191,13 +213,25 @@ def _send_keys(k: int, need: int, of: int, buckets: int):
                 owner, key, size_band, sure = piece_keys(ends, hashes, need, of)
                 first = np.zeros(c.rows, bool)
                 first[np.unique(nodes, return_index=True)[1]] = True
-                keep = np.flatnonzero(first[owner])
-                bucket = ((key[keep] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((size_band[keep], owner[keep], bucket))
-                bucket, keep = bucket[order], keep[order]
+                keep = first[owner]
                 owner, key, size_band, sure = owner[keep], key[keep], size_band[keep], sure[keep]
-                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
                 rows = [[], [], []]
+                places, begin = _beside(key, nodes[owner])
+                if len(places):
+                    at = nodes[owner[places]]
+                    for a, b in zip(begin, begin[1:], strict=False):
+                        rows[0].append(int(mix(key[places[a : a + 1]] + np.uint64(at[a] & 0xFFFF))[0] % np.uint64(buckets)))
+                        rows[1].append(None)
+                        rows[2].append(key[places[a] : places[a] + 1].tobytes() + at[a:b].tobytes())
+                    stay = np.ones(len(key), bool)
+                    stay[places] = False
+                    stay[places[begin[:-1]]] = True
+                    size_band[places[begin[:-1]]] = MARKED
+                    owner, key, size_band, sure = owner[stay], key[stay], size_band[stay], sure[stay]
+                bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((size_band, owner, bucket))
+                bucket, owner, key, size_band, sure = bucket[order], owner[order], key[order], size_band[order], sure[order]
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
                 for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=False):
                     new = a + np.flatnonzero(np.append(True, (owner[a + 1 : b] != owner[a : b - 1]) | (size_band[a + 1 : b] != size_band[a : b - 1])))
                     head = np.zeros(len(new), _OWNER)
@@ -211,43 +245,67 @@ def _send_keys(k: int, need: int, of: int, buckets: int):
     return run
 
 
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (a, b, band) with how many keys they share here and need in all; and larger groups, each once, in blocks of BLOCK members."""
-    head = np.frombuffer(b"".join(pdf["owners"]), _OWNER)
-    who = np.repeat(np.arange(len(head)), head["keys"])
-    keys = np.frombuffer(b"".join(pdf["keys"]), "<u8")
+_MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("shared", pa.int64()), ("needed", pa.int64()), ("members", pa.binary())])
+
+
+def _large(gid: int, members: np.ndarray) -> pa.RecordBatch:
+    parts = [members[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, len(members), BLOCK)]
+    none = pa.nulls(len(parts), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array([gid] * len(parts), pa.int64()), none, none, none, pa.array(parts, pa.binary())], schema=_MET)
+
+
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, band) with how many keys they share here and need in all; and members of larger groups, in blocks, b being the group's number."""
+    heads, keys = [], []
+    for batch in batches:
+        owners, sent = batch.column("owners"), batch.column("keys")
+        for own, own_keys in zip(owners, sent, strict=True):
+            if own.is_valid:
+                heads.append(own.as_py())
+                keys.append(own_keys.as_py())
+            else:
+                members = np.frombuffer(own_keys.as_py(), "<i8")
+                yield _large(int(members[0]), members[1:])
+    head = np.frombuffer(b"".join(heads), _OWNER)
+    keys = np.frombuffer(b"".join(keys), "<u8")
+    del heads
+    who = np.repeat(np.arange(len(head), dtype=np.int32), head["keys"])
     order = np.argsort(keys)
     ordered = keys[order]
     twin = np.zeros(len(keys), bool)
     twin[1:] = ordered[1:] == ordered[:-1]
     twin[:-1] |= twin[1:]
     order = order[twin]
+    del ordered, twin
     order = order[np.lexsort((head["node"][who[order]], keys[order]))]
     keys, who = keys[order], who[order]
     nodes = head["node"][who]
+    marked = head["band"][who] == MARKED
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    beside = np.logical_or.reduceat(marked, cuts) if len(cuts) else np.zeros(0, bool)
+    # A set has a key once; only a marked one can come again, from another run of texts.
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
     keys, who, nodes = keys[new], who[new], nodes[new]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.append(cuts, len(keys)))
-    left, right = [], []
     for m in range(2, PAIRED + 1):
-        at = cuts[size == m]
-        if len(at):
-            i, j = np.triu_indices(m, 1)
-            left.append((at[:, None] + i).ravel())
-            right.append((at[:, None] + j).ravel())
-    columns = ["a", "b", "band", "shared", "needed"]
-    pairs = pd.DataFrame({c: np.zeros(0, np.int64) for c in columns})
-    if left:
-        left, right = who[np.concatenate(left)], who[np.concatenate(right)]
-        needed = np.maximum(head["sure"][left], head["sure"][right]).astype(np.int64)
-        pairs = pd.DataFrame({"a": head["node"][left], "b": head["node"][right], "band": head["band"][left].astype(np.int64), "needed": needed})
-        pairs = pairs.groupby(["a", "b", "band"], sort=False, as_index=False).agg(shared=("needed", "size"), needed=("needed", "max"))[columns]
-    pairs["members"] = None
-    large = {nodes[a : a + m].tobytes() for a, m in zip(cuts[size > PAIRED], size[size > PAIRED], strict=True)}
-    rows = [(int.from_bytes(m[:8], "little", signed=True), hash_of(m), 0, 0, 0, m[i : i + 8 * BLOCK]) for m in large for i in range(0, len(m), 8 * BLOCK)]
-    return pd.DataFrame(rows, columns=[*columns, "members"]) if pairs.empty else pd.concat([pairs, pd.DataFrame(rows, columns=[*columns, "members"])]) if rows else pairs
+        at = cuts[(size == m) & ~beside]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, PAIRS_TOGETHER // len(i))
+        for part in (at[x : x + step] for x in range(0, len(at), step)):
+            left, right = who[(part[:, None] + i).ravel()], who[(part[:, None] + j).ravel()]
+            pairs = pd.DataFrame({"a": head["node"][left], "b": head["node"][right], "band": head["band"][left].astype(np.int64), "needed": np.maximum(head["sure"][left], head["sure"][right]).astype(np.int64)})
+            pairs = pairs.groupby(["a", "b", "band"], sort=False, as_index=False).agg(shared=("needed", "size"), needed=("needed", "max"))
+            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[x].to_numpy(np.int64)) for x in _MET.names[:5]), pa.nulls(len(pairs), pa.binary())], schema=_MET)
+    told = set()
+    for a, m, by_key in zip(cuts.tolist(), size.tolist(), beside.tolist(), strict=True):
+        if m > PAIRED or by_key:
+            members = nodes[a : a + m]
+            gid = int(keys[a : a + 1].view("<i8")[0]) if by_key else hash_of(members.tobytes())
+            if gid not in told:
+                told.add(gid)
+                yield _large(gid, members)
 
 
 def hash_of(members: bytes) -> int:
@@ -280,45 +338,65 @@ def _verify(need: int, of: int):
     return run
 
 
+class _Members:
+    """A block of a group's members, from an Arrow list: flat arrays, nothing copied."""
+
+    def __init__(self, block: pa.StructArray):
+        self.node, self.component, self.n = (block.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        sketches, gids = block.field(3), block.field(4)
+        size = len(block)
+        self.at = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + size + 1]
+        self.bytes = np.frombuffer(sketches.buffers()[2], np.uint8)
+        self.gids = gids
+        self.size = size
+
+    def sketch(self, i: int) -> np.ndarray:
+        return self.bytes[self.at[i] : self.at[i + 1]]
+
+    def gids_of(self, i: int) -> np.ndarray:
+        return self.gids[i].values.to_numpy(zero_copy_only=False)
+
+
 def _near(need: int, of: int):
     """Pairs of members of two blocks of a group that are in different components and near enough by their sketches.
 
-    A pair meets in as many groups as it has pieces in common; it comes from the one with the least number.
+    Left are members outside the component of the group's hub. A pair of two such comes once, from the smaller
+    node; one that meets in several groups comes from that with the least number.
     """
 
-    def run(frames):
-        for pdf in frames:
-            a, b = [], []
-            for gid, left, right, same in zip(pdf["gid"], pdf["left"], pdf["right"], pdf["same"], strict=True):
-                right_gids = [frozenset(np.asarray(r["gids"]).tolist()) for r in right]
-                right_nodes = np.array([r["node"] for r in right])
-                right_parts = np.array([r["component"] for r in right])
-                right_n = np.array([r["n"] for r in right])
-                by_bits: dict[int, list[int]] = {}
-                for j, r in enumerate(right):
-                    by_bits.setdefault(len(r["sketch"]), []).append(j)
-                stacks = {bits: (np.array(js), np.stack([np.frombuffer(right[j]["sketch"], "<u8") for j in js])) for bits, js in by_bits.items()}
-                for i, r in enumerate(left):
-                    own_gids = right_gids[i] if same else frozenset(np.asarray(r["gids"]).tolist())
-                    own = np.frombuffer(r["sketch"], np.uint8)
+    def run(batches):
+        for batch in batches:
+            for row in range(len(batch)):
+                gid, hub = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                left, right = (_Members(batch.column(i)[row].values) for i in (2, 3))
+                a, b = [], []
+                length = np.diff(right.at)
+                stacks = {bits: js for bits in np.unique(length).tolist() if len(js := np.flatnonzero(length == bits))}
+                stacks = {bits: (js, np.stack([right.sketch(j) for j in js.tolist()])) for bits, js in stacks.items()}
+                for i in range(left.size):
+                    node, n, own = left.node[i], left.n[i], left.sketch(i)
+                    own_gids = None
                     for bits, (js, stack) in stacks.items():
                         # In the longer of two sketches bits fold onto the shorter one's.
                         small = min(bits, len(own))
-                        take = (right_parts[js] != r["component"]) & (js > i if same else True)
-                        least, most = np.minimum(right_n[js], r["n"]), np.maximum(right_n[js], r["n"])
+                        take = (right.component[js] != left.component[i]) & ((right.component[js] == hub) | (right.node[js] > node))
+                        least, most = np.minimum(right.n[js], n), np.maximum(right.n[js], n)
                         take &= of * least >= need * most
                         at = js[take]
                         if not len(at):
                             continue
                         mine = np.bitwise_xor.reduce(own.reshape(-1, small), axis=0).view("<u8")
-                        theirs = np.bitwise_xor.reduce(stack[take].view(np.uint8).reshape(len(at), -1, small), axis=1).view("<u8")
+                        theirs = np.bitwise_xor.reduce(stack[take].reshape(len(at), -1, small), axis=1).view("<u8")
                         apart = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-                        total = right_n[at] + r["n"]
+                        total = right.n[at] + n
                         at = at[apart <= total - 2 * (-(-need * total // (of + need)))]
-                        at = [j for j in at.tolist() if min(own_gids & right_gids[j]) == gid]
-                        a += [r["node"]] * len(at)
-                        b += right_nodes[at].tolist()
-            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                        for j in at.tolist():
+                            own_gids = left.gids_of(i) if own_gids is None else own_gids
+                            if np.intersect1d(own_gids, right.gids_of(j))[0] == gid:
+                                a.append(node)
+                                b.append(right.node[j])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -343,15 +421,16 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     rows = docs.select("doc_id", tie.alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     described = cut(rows.mapInArrow(_describe(k), "doc_id long, tie long, n long, node long"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-total // BUCKET_BYTES))
+    # Two bands' pieces for each word, eight bytes each.
+    key_bytes = total / WORD_BYTES * 2 * 8 * min(1.0, 2.2 * (of - need) / (of + need))
+    buckets = max(16, int(-(-key_bytes // BUCKET_BYTES)))
     sent = rows.select("text").mapInArrow(_send_keys(k, need, of, buckets), "bucket long, owners binary, keys binary")
-    met = cut(sent.groupBy("bucket").applyInPandas(_group, "a long, b long, band long, shared long, needed long, members binary"))
+    met = cut(sent.groupBy("bucket").applyInArrow(_group, "a long, b long, band long, shared long, needed long, members binary"))
     counted = met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
     likely = cut(counted.filter("shared >= needed").select("a", "b").distinct())
     unpack = F.pandas_udf(lambda s: s.map(lambda m: np.frombuffer(m, "<i8")), "array<long>")
-    large = met.filter("members is not null").select(F.col("a").alias("hub"), F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
-    groups = cut(large.select("hub", "gid", unpack("members").alias("members")))
-    tied = groups.select("hub", F.explode("members").alias("node"))
+    large = met.filter("members is not null").select(F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
+    tied = cut(large.select("gid", F.explode(unpack("members")).alias("node")).distinct())
     # The set of each node of a pair or large group, from the text of one document that has it.
     picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
@@ -365,11 +444,14 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
 
     links = cut(verified(likely))
     parts = cut(connected(links))
+    # A set has no more groups than pieces. The hub of a group is the member that is in most groups.
+    meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
     for turn in range(ROUNDS + 1):
-        spread = groups.select("gid", F.explode("members").alias("node")).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")
-        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n_members"), first).filter("x <> y").select("gid", "n_members", "h.hub", "h.hub_component")
-        rest = cut(spread.join(open_groups, "gid"))
+        degree = meets.select("node", F.size("gids").alias("degree"))
+        spread = tied.join(degree, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        first = F.max(F.struct("degree", F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")
+        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), first).filter("x <> y").select("gid", "h.hub", "h.hub_component")
+        rest = cut(spread.drop("degree").join(open_groups, "gid"))
         if turn == ROUNDS or rest.isEmpty():
             break
         # Of the hubs of its groups, each member is verified against the one it meets most often.
@@ -379,15 +461,16 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         parts = cut(connected(links))
     if not rest.isEmpty():
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
-        # A set has no more groups than pieces.
-        meets = rest.groupBy("node").agg(F.collect_set("gid").alias("gids"))
-        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / (BLOCK // 2))).alias("block")
-        of_group = rest.select("gid", "node", "component", block).join(sketches.join(meets, "node"), "node")
-        blocks = of_group.groupBy("gid", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "gids")).alias("members"))
-        left = blocks.select("gid", F.col("block").alias("i"), F.col("members").alias("left"))
-        right = blocks.select("gid", F.col("block").alias("j"), F.col("members").alias("right"))
-        pairs = left.join(right, "gid").filter("i <= j").select("gid", "left", "right", (F.col("i") == F.col("j")).alias("same"))
-        pairs = pairs.mapInPandas(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        of_group = rest.select("gid", "hub_component", "node", "component").join(sketches.join(meets, "node"), "node")
+
+        def blocks(side: DataFrame, name: str) -> DataFrame:
+            sized = side.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+            dealt = side.join(sized, "gid").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+            return dealt.groupBy("gid", "hub_component", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "gids")).alias(name)).drop("block")
+
+        left, right = blocks(of_group.filter("component <> hub_component"), "left"), blocks(of_group, "right")
+        pairs = left.join(right.drop("hub_component"), "gid").select("gid", "hub_component", "left", "right")
+        pairs = pairs.mapInArrow(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = verified(pairs)
         parts = connected(links.unionByName(more))
     known = described.join(parts, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
