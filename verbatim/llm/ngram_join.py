@@ -193,8 +193,8 @@ MARKED = 0xFFFF
 
 
 def _beside(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of keys that more than PAIRED sets have: (places in order of the key, where each key begins there)."""
-    order = np.argsort(key, kind="stable")
+    """Of keys that more than PAIRED sets have: (places in order of key and node, where each key begins there)."""
+    order = np.lexsort((node, key))
     ordered = key[order]
     begin = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(begin, len(key)))
@@ -249,9 +249,11 @@ _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("
 
 
 def _large(gid: int, members: np.ndarray) -> pa.RecordBatch:
+    """Rows of a large group: a is its least member, b its number."""
     parts = [members[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, len(members), BLOCK)]
     none = pa.nulls(len(parts), pa.int64())
-    return pa.RecordBatch.from_arrays([none, pa.array([gid] * len(parts), pa.int64()), none, none, none, pa.array(parts, pa.binary())], schema=_MET)
+    hub = pa.array([int(members.min())] * len(parts), pa.int64())
+    return pa.RecordBatch.from_arrays([hub, pa.array([gid] * len(parts), pa.int64()), none, none, none, pa.array(parts, pa.binary())], schema=_MET)
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,8 +431,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     counted = met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
     likely = cut(counted.filter("shared >= needed").select("a", "b").distinct())
     unpack = F.pandas_udf(lambda s: s.map(lambda m: np.frombuffer(m, "<i8")), "array<long>")
-    large = met.filter("members is not null").select(F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
-    tied = cut(large.select("gid", F.explode(unpack("members")).alias("node")).distinct())
+    large = met.filter("members is not null").select(F.col("a").alias("hub"), F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
+    large = cut(large.select("hub", "gid", unpack("members").alias("members")))
+    tied = large.select("gid", F.explode("members").alias("node"))
     # The set of each node of a pair or large group, from the text of one document that has it.
     picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
@@ -442,10 +445,17 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
         return both.mapInArrow(_verify(need, of), "a long, b long")
 
-    links = cut(verified(likely))
+    def stars(met_with: DataFrame) -> DataFrame:
+        """Each node (a) and the hub (b) that it meets most often."""
+        often = met_with.groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m"))
+        return often.select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
+
+    # The least member is the same in most groups of like sets, and no join is needed to find it.
+    begun = stars(large.select("hub", F.explode("members").alias("node")).filter("node <> hub"))
+    links = cut(verified(likely.unionByName(begun)))
     parts = cut(connected(links))
-    # A set has no more groups than pieces. The hub of a group is the member that is in most groups.
-    meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
+    # A set has no more groups than pieces. The hub of a group is now the member that is in most groups.
+    meets = cut(tied.distinct().groupBy("node").agg(F.collect_list("gid").alias("gids")))
     for turn in range(ROUNDS + 1):
         degree = meets.select("node", F.size("gids").alias("degree"))
         spread = tied.join(degree, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -455,9 +465,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         if turn == ROUNDS or rest.isEmpty():
             break
         # Of the hubs of its groups, each member is verified against the one it meets most often.
-        apart = rest.filter("component <> hub_component").groupBy("node", "hub").count()
-        star = cut(apart.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("node").alias("a"), F.col("m.hub").alias("b")))
-        links = cut(links.unionByName(verified(star)))
+        links = cut(links.unionByName(verified(stars(rest.filter("component <> hub_component")))))
         parts = cut(connected(links))
     if not rest.isEmpty():
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
