@@ -16,7 +16,9 @@ pairs would grow with their square, go another way: each member is verified agai
 groups (the member that is in most groups) and what is linked becomes one component; then only the
 members outside the hub's component are compared with their group, in blocks, by Hamming distance of
 their whole sketches, and verified. No link is lost on either way: a pair whose counted pieces fall
-short of what is certain has the others in large groups, so it meets there.
+short of what is certain has the others in large groups, so it meets there. A set whose large groups,
+with the most pieces that it shares with any one set in small groups, are fewer than what is certain
+has no such pair and leaves them: texts that have no more than a passage in common go no further.
 
 A key that a map task meets in more than PAIRED sets of one run of texts reaches its bucket once,
 marked; its members go on beside the bucket, so a piece that a third of all sets share doesn't land
@@ -188,8 +190,9 @@ def _describe(k: int):
 
 
 _OWNER = np.dtype([("node", "<i8"), ("keys", "<u4"), ("band", "<u2"), ("sure", "<u2")])
-#: The band of keys whose other members went beside the bucket.
-MARKED = 0xFFFF
+#: Added to the band of a key whose other members went beside the bucket.
+MARKED = 0x8000
+_MEMBER = np.dtype([("node", "<i8"), ("sure", "<u2")])
 
 
 def _beside(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +221,17 @@ def _send_keys(k: int, need: int, of: int, buckets: int):
                 rows = [[], [], []]
                 places, begin = _beside(key, nodes[owner])
                 if len(places):
-                    at = nodes[owner[places]]
+                    at = np.zeros(len(places), _MEMBER)
+                    at["node"], at["sure"] = nodes[owner[places]], np.minimum(sure[places], 0xFFFF)
                     for a, b in zip(begin, begin[1:], strict=False):
-                        rows[0].append(int(mix(key[places[a : a + 1]] + np.uint64(at[a] & 0xFFFF))[0] % np.uint64(buckets)))
+                        own = np.array([key[places[a]], size_band[places[a]]], np.uint64)
+                        rows[0].append(int(mix(own[:1] + np.uint64(at["node"][a] & 0xFFFF))[0] % np.uint64(buckets)))
                         rows[1].append(None)
-                        rows[2].append(key[places[a] : places[a] + 1].tobytes() + at[a:b].tobytes())
+                        rows[2].append(own.tobytes() + at[a:b].tobytes())
                     stay = np.ones(len(key), bool)
                     stay[places] = False
                     stay[places[begin[:-1]]] = True
-                    size_band[places[begin[:-1]]] = MARKED
+                    size_band[places[begin[:-1]]] += MARKED
                     owner, key, size_band, sure = owner[stay], key[stay], size_band[stay], sure[stay]
                 bucket = ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
                 order = np.lexsort((size_band, owner, bucket))
@@ -248,12 +253,11 @@ def _send_keys(k: int, need: int, of: int, buckets: int):
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("band", pa.int64()), ("shared", pa.int64()), ("needed", pa.int64()), ("members", pa.binary())])
 
 
-def _large(gid: int, members: np.ndarray) -> pa.RecordBatch:
-    """Rows of a large group: a is its least member, b its number."""
-    parts = [members[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, len(members), BLOCK)]
-    none = pa.nulls(len(parts), pa.int64())
-    hub = pa.array([int(members.min())] * len(parts), pa.int64())
-    return pa.RecordBatch.from_arrays([hub, pa.array([gid] * len(parts), pa.int64()), none, none, none, pa.array(parts, pa.binary())], schema=_MET)
+def _large(gid: int, band: int, members: np.ndarray, times: int = 1) -> pa.RecordBatch:
+    """Rows of a large group: a is its least member, b its number, shared how many keys have just these members."""
+    parts = [members[i : i + BLOCK].tobytes() for i in range(0, len(members), BLOCK)]
+    same = lambda v: pa.array([v] * len(parts), pa.int64())
+    return pa.RecordBatch.from_arrays([same(int(members["node"].min())), same(gid), same(band), same(times), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.binary())], schema=_MET)
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,8 +270,9 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heads.append(own.as_py())
                 keys.append(own_keys.as_py())
             else:
-                members = np.frombuffer(own_keys.as_py(), "<i8")
-                yield _large(int(members[0]), members[1:])
+                raw = own_keys.as_py()
+                gid, band = np.frombuffer(raw[:16], "<i8").tolist()
+                yield _large(gid, band, np.frombuffer(raw[16:], _MEMBER))
     head = np.frombuffer(b"".join(heads), _OWNER)
     keys = np.frombuffer(b"".join(keys), "<u8")
     del heads
@@ -282,7 +287,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = order[np.lexsort((head["node"][who[order]], keys[order]))]
     keys, who = keys[order], who[order]
     nodes = head["node"][who]
-    marked = head["band"][who] == MARKED
+    marked = head["band"][who] >= MARKED
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
     beside = np.logical_or.reduceat(marked, cuts) if len(cuts) else np.zeros(0, bool)
     # A set has a key once; only a marked one can come again, from another run of texts.
@@ -300,14 +305,29 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = pd.DataFrame({"a": head["node"][left], "b": head["node"][right], "band": head["band"][left].astype(np.int64), "needed": np.maximum(head["sure"][left], head["sure"][right]).astype(np.int64)})
             pairs = pairs.groupby(["a", "b", "band"], sort=False, as_index=False).agg(shared=("needed", "size"), needed=("needed", "max"))
             yield pa.RecordBatch.from_arrays([*(pa.array(pairs[x].to_numpy(np.int64)) for x in _MET.names[:5]), pa.nulls(len(pairs), pa.binary())], schema=_MET)
-    told = set()
+    told: dict[tuple[int, int], list] = {}
     for a, m, by_key in zip(cuts.tolist(), size.tolist(), beside.tolist(), strict=True):
         if m > PAIRED or by_key:
-            members = nodes[a : a + m]
-            gid = int(keys[a : a + 1].view("<i8")[0]) if by_key else hash_of(members.tobytes())
-            if gid not in told:
-                told.add(gid)
-                yield _large(gid, members)
+            own = np.zeros(m, _MEMBER)
+            own["node"], own["sure"] = nodes[a : a + m], head["sure"][who[a : a + m]]
+            band = int(head["band"][who[a]]) % MARKED
+            if by_key:
+                yield _large(int(keys[a : a + 1].view("<i8")[0]), band, own)
+            else:
+                told.setdefault((hash_of(own["node"].tobytes()), band), [own, 0])[1] += 1
+    for (gid, band), (own, times) in told.items():
+        yield _large(gid, band, own, times)
+
+
+def _unpack(batches):
+    for batch in batches:
+        own = [np.frombuffer(m.as_buffer(), _MEMBER) for m in batch.column("members")]
+        every = np.concatenate(own) if own else np.zeros(0, _MEMBER)
+        at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).cast(pa.int64()).take(at) for i in ("hub", "gid", "band", "times")), pa.array(every["node"]), pa.array(every["sure"].astype(np.int64))],
+            ["hub", "gid", "band", "times", "node", "sure"],
+        )
 
 
 def hash_of(members: bytes) -> int:
@@ -428,12 +448,16 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     buckets = max(16, int(-(-key_bytes // BUCKET_BYTES)))
     sent = rows.select("text").mapInArrow(_send_keys(k, need, of, buckets), "bucket long, owners binary, keys binary")
     met = cut(sent.groupBy("bucket").applyInArrow(_group, "a long, b long, band long, shared long, needed long, members binary"))
-    counted = met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"))
+    counted = cut(met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")))
     likely = cut(counted.filter("shared >= needed").select("a", "b").distinct())
-    unpack = F.pandas_udf(lambda s: s.map(lambda m: np.frombuffer(m, "<i8")), "array<long>")
-    large = met.filter("members is not null").select(F.col("a").alias("hub"), F.col("b").alias("gid"), "members").dropDuplicates(["gid", "members"])
-    large = cut(large.select("hub", "gid", unpack("members").alias("members")))
-    tied = large.select("gid", F.explode("members").alias("node"))
+    # Equal groups of several buckets are one, as often as they came; a marked key's parts have one number.
+    alike = met.filter("members is not null").groupBy(F.col("a").alias("hub"), F.col("b").alias("gid"), "band", "members").agg(F.sum("shared").cast("int").alias("times"))
+    every = cut(alike.mapInArrow(_unpack, "hub long, gid long, band long, times long, node long, sure long"))
+    # A marked key's sets may come twice, from its bucket and beside it: more groups than there are, never fewer.
+    groups_of = every.groupBy("node", "band").agg(F.sum("times").alias("groups"), F.max("sure").alias("sure"))
+    best = counted.select("band", "shared", F.explode(F.array("a", "b")).alias("node")).groupBy("node", "band").agg(F.max("shared").alias("most"))
+    alive = groups_of.join(best, ["node", "band"], "left").filter(F.col("groups") + F.coalesce("most", F.lit(0)) >= F.col("sure")).select("node", "band")
+    tied = cut(every.join(alive, ["node", "band"], "left_semi").groupBy("gid", "node").agg(F.min("hub").alias("hub")))
     # The set of each node of a pair or large group, from the text of one document that has it.
     picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
@@ -451,16 +475,18 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         return often.select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
 
     # The least member is the same in most groups of like sets, and no join is needed to find it.
-    begun = stars(large.select("hub", F.explode("members").alias("node")).filter("node <> hub"))
+    begun = stars(tied.select("hub", "node").filter("node <> hub").join(tied.select(F.col("node").alias("hub")).distinct(), "hub", "left_semi"))
     links = cut(verified(likely.unionByName(begun)))
     parts = cut(connected(links))
     # A set has no more groups than pieces. The hub of a group is now the member that is in most groups.
-    meets = cut(tied.distinct().groupBy("node").agg(F.collect_list("gid").alias("gids")))
+    tied = tied.drop("hub")
+    meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
     for turn in range(ROUNDS + 1):
         degree = meets.select("node", F.size("gids").alias("degree"))
         spread = tied.join(degree, "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         first = F.max(F.struct("degree", F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("hub"), F.col("component").alias("hub_component"))).alias("h")
-        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), first).filter("x <> y").select("gid", "h.hub", "h.hub_component")
+        size = F.count(F.lit(1)).alias("n_members")
+        open_groups = spread.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y"), size, first).filter("x <> y").select("gid", "n_members", "h.hub", "h.hub_component")
         rest = cut(spread.drop("degree").join(open_groups, "gid"))
         if turn == ROUNDS or rest.isEmpty():
             break
@@ -469,12 +495,11 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         parts = cut(connected(links))
     if not rest.isEmpty():
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
-        of_group = rest.select("gid", "hub_component", "node", "component").join(sketches.join(meets, "node"), "node")
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / BLOCK)).alias("block")
+        of_group = rest.select("gid", "hub_component", "node", "component", block).join(sketches.join(meets, "node"), "node")
 
         def blocks(side: DataFrame, name: str) -> DataFrame:
-            sized = side.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-            dealt = side.join(sized, "gid").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-            return dealt.groupBy("gid", "hub_component", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "gids")).alias(name)).drop("block")
+            return side.groupBy("gid", "hub_component", "block").agg(F.collect_list(F.struct("node", "component", "n", "sketch", "gids")).alias(name)).drop("block")
 
         left, right = blocks(of_group.filter("component <> hub_component"), "left"), blocks(of_group, "right")
         pairs = left.join(right.drop("hub_component"), "gid").select("gid", "hub_component", "left", "right")
