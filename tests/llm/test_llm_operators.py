@@ -96,10 +96,50 @@ def test_token_table(spark, texts):
         at += len(ids)
 
 
-def test_words_encode_as_texts():
-    whole = token_table.encoder(token_table.vocabulary_path())
-    for word in ["don't", "It'S", "naïve", "A1b22", "<|endoftext|>", "x<|startoftext|>y", "İstanbul", "ΣΑΣ", "中文", "é", " a", "...!?", "\U0001f600", "ﬁn"]:
-        assert list(whole.ids_of(word)) == whole.whole.encode(word, add_special_tokens=False).ids
+ODD = ["don't", "It'S", "naïve", "A1b22", "<|endoftext|>", "x<|startoftext|>y", "İstanbul", "ΣΑΣ", "中文", "é", "e\u0301 \u0301x", " a", "...!?", "\U0001f600", "ﬁn", "a\u00a0b\u3000c\u2028d", "\x1c\x85x", "'S 's t'ree", ""]
+
+
+def test_texts_encode_as_the_library_does():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from verbatim.llm.textkit import chunks
+
+    rng = np.random.default_rng(14)
+    pool = [*"abcXYZ 019'.,!<|>-_\n\t\u0301\u00a0\u3000ßéİσς中\U0001f600\u200d٣Ⅷ"]
+    texts = [*ODD, " ".join(ODD), *("".join(rng.choice(pool, 80)) for _ in range(2000))]
+    path = token_table.vocabulary_path()
+    whole, own = Tokenizer.from_file(path), token_table.TextEncoder(path)
+    assert own.by_word
+    for by_word in (True, False):
+        own.by_word = by_word
+        got = []
+        for c in chunks(pa.array(texts), size=5000):
+            ids, n = own.encode(c)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+        assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from verbatim.llm.textkit import chunks
+
+    path = token_table.vocabulary_path()
+    own, whole = token_table.TextEncoder(path), token_table.TextEncoder(path).whole
+    monkeypatch.setattr(token_table, "word_hashes", lambda c: (c.ends - c.starts).astype(np.uint64) // np.uint64(3))
+    text = "the cat sat on a mat with nine other cats and dogs"
+    (c,) = chunks(pa.array([text]))
+    assert own.encode(c)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 0, "x": 1}, unk_token="x"))
+    assert not token_table.joins_nothing(other)
+    other.pre_tokenizer = pre_tokenizers.ByteLevel()
+    assert not token_table.joins_nothing(other)
 
 
 def test_shard_lookup():

@@ -17,7 +17,9 @@ integers behind the byte 2 if all fit, else as 32-bit ones behind the byte 4.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -204,81 +206,103 @@ class Shard:
         return found
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word.
-
-    The vocabulary's tokenizer drops white space and joins nothing across it, so a text's ids are
-    its words' ids in turn; each word is encoded by the tokenizers library when it is first met.
+def joins_nothing(tokenizer) -> bool:
+    """Whether the tokenizer drops all white space and never joins characters across it, by its own description."""
+    told = json.loads(tokenizer.to_str())
+    steps = (told.get("pre_tokenizer") or {}).get("pretokenizers") or [told.get("pre_tokenizer") or {}]
+    split, rest = steps[0], steps[1:]
+    pattern = (split.get("pattern") or {}).get("Regex", "")
+    apart = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True
+    # What the pattern takes is a literal, or a class of letters, of digits, or of what isn't white space.
+    takes = re.sub(r"\[\^\\s[^\]]*\]\+?|\[\\p\{[LN]\}\]\+?|\\p\{[LN]\}\+?", "", pattern)
+    apart = apart and bool(pattern) and not re.search(r"[\s\\\[\].*?]", takes)
+    apart = apart and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+    normal = told.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    for step in normal.get("normalizers", [normal]):
+        blanks = step.get("type") == "Replace" and step.get("pattern") == {"Regex": r"\s+"} and step.get("content") == " "
+        apart = apart and (blanks or step.get("type") in ("NFC", "Lowercase"))
+    for token in told.get("added_tokens", ()):
+        apart = apart and not re.search(r"\s", token["content"]) and not token["single_word"]
+    return apart and told.get("post_processor") is None and told.get("truncation") is None
+
+
+class TextEncoder:
+    """Ids of whole texts by the tokenizers library.
+
+    Where the tokenizer's own description says that it joins nothing across white space, a text's ids
+    are its words' ids in turn, and the library encodes each word once: a word is remembered under its
+    bytes, so no other word can stand for it. Any other tokenizer gets whole texts.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.plain = regex.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-        self.piece_pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.by_word = joins_nothing(self.whole)
         self.forget()
 
     def forget(self) -> None:
-        self.of_word: dict[int, int] = {}
-        self.of_piece: dict[str, tuple[int, ...]] = {}
-        self.flat, self.begin = array("H"), array("q", [0])
-        self.flat_np = self.begin_np = None
-
-    def ids_of(self, word: str) -> list[int]:
-        """The library's ids of one word; words of Latin-1 letters skip its normaliser, whose work on them is lower-casing."""
-        if self.plain.fullmatch(word) and "<|" not in word:
-            out: list[int] = []
-            for piece in self.piece_pattern.findall(word.lower()):
-                ids = self.of_piece.get(piece)
-                if ids is None:
-                    shown = piece if piece.isascii() and piece.isalnum() else "".join(self.shown[b] for b in piece.encode())
-                    ids = self.of_piece[piece] = tuple(t.id for t in self.whole.model.tokenize(shown))
-                out += ids
-            return out
-        return self.whole.encode(word, add_special_tokens=False).ids
+        self.of_word: dict[bytes, int] = {}
+        self.flat, self.begin = array("I"), array("q", [0])
+
+    def _places(self, c: Chunk) -> np.ndarray:
+        """The place of each word of the chunk among the remembered ones."""
+        hashes = word_hashes(c)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        # Words of one hash are compared byte by byte with its first one; one that differs stands for itself.
+        n, like = c.ends - c.starts, c.starts[first][which]
+        differs = n != n[first][which]
+        size = np.where(differs, 0, n)
+        upto = np.cumsum(size)
+        inside = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - size, size)
+        unequal = c.data[np.repeat(c.starts, size) + inside] != c.data[np.repeat(like, size) + inside]
+        if unequal.any():
+            differs[np.repeat(np.arange(len(n)), size)[unequal]] = True
+        alone = np.flatnonzero(differs)
+        words = [c.data[c.starts[i] : c.ends[i]].tobytes() for i in [*first.tolist(), *alone.tolist()]]
+        new = list(dict.fromkeys(w for w in words if w not in self.of_word))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for word, found in zip(part, self.whole.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.of_word[word] = len(self.begin) - 1
+                self.flat.extend(found.ids)
+                self.begin.append(len(self.flat))
+        known = np.array([self.of_word[w] for w in words], np.int64)
+        out = known[: len(first)][which]
+        out[alone] = known[len(first) :]
+        return out
 
     def encode(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the chunk's words, and how many each word has."""
+        """All ids of the chunk's rows, and how many each row has."""
+        if not self.by_word:
+            found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch_fast([c.text(r).decode() for r in range(c.rows)], add_special_tokens=False)]
+            return np.concatenate([*found, np.zeros(0, np.uint32)]), np.array([len(x) for x in found], np.int64)
         if len(self.of_word) > REMEMBERED:
             self.forget()
-        hashes = word_hashes(c).tolist()
-        get = self.of_word.get
-        which = np.array([get(h, -1) for h in hashes], np.int64)
-        new = np.flatnonzero(which < 0)
-        for i in new.tolist():
-            h = hashes[i]
-            if h not in self.of_word:
-                self.of_word[h] = len(self.begin) - 1
-                self.flat.extend(self.ids_of(c.data[c.starts[i] : c.ends[i]].tobytes().decode()))
-                self.begin.append(len(self.flat))
-            which[i] = self.of_word[h]
-        if len(new) or self.flat_np is None:
-            self.flat_np, self.begin_np = np.array(self.flat, np.uint16), np.array(self.begin, np.int64)
-        begin = self.begin_np[which]
-        n = self.begin_np[which + 1] - begin
+        which = self._places(c)
+        flat, bounds = np.frombuffer(self.flat, np.uint32) if self.flat else np.zeros(0, np.uint32), np.frombuffer(self.begin, np.int64)
+        begin, n = bounds[which], bounds[which + 1] - bounds[which]
         total = np.cumsum(n)
         at = np.repeat(begin - (total - n), n) + np.arange(total[-1] if len(total) else 0)
-        return self.flat_np[at], n
+        ids = flat[at]
+        of_row = np.diff(np.append(0, total)[c.word_offsets])
+        del flat, bounds  # the arrays behind them grow with the next chunk
+        return ids, of_row
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str) -> TextEncoder:
     if path not in _encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = TextEncoder(path)
     return _encoders[path]
 
 
 def document_ids(c: Chunk, path: str) -> Iterator[np.ndarray]:
     ids, n = encoder(path).encode(c)
-    upto = np.concatenate([[0], np.cumsum(n)])[c.word_offsets]
+    upto = np.append(0, np.cumsum(n))
     for row in range(c.rows):
         yield np.append(ids[upto[row] : upto[row + 1]].astype("<u4"), np.uint32(END_ID))
 
