@@ -42,6 +42,8 @@ BLOOM_BITS = 10
 BLOOM_HASHES = 7
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of text in one shard; small tables are cut finer, to give all cores work.
+SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers before it forgets them all.
 REMEMBERED = 1_000_000
 
@@ -326,6 +328,8 @@ def _local(folder: str) -> tuple[object, str]:
 def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards: int | None = None) -> DataFrame:
     """Write the documents' ids to shard files in ascending doc_id order; one manifest row a shard.
 
+    There are as many shards as SHARD_BYTES ask for, twice the cores at least.
+
     A task writes its shard under a name of its own and then renames it, so a task that runs twice
     leaves one whole file. Null texts give the end id alone; null doc_ids come first, repeated ones
     in the order of a hash of their texts; columns but doc_id and text are not read.
@@ -333,7 +337,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
     spark = docs.sparkSession
     path = path or vocabulary_path()
     tie = F.xxhash64("text")
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = 0 if shards else docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(2 * spark.sparkContext.defaultParallelism, -(-total // SHARD_BYTES))
     rows = docs.select("doc_id", "text", tie.alias("tie")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def write(batches):
@@ -413,7 +418,12 @@ def find(folder: str, manifest: list, doc_id: int | None) -> list[np.ndarray]:
 
 
 def token_table(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` as shards (a new folder in the shared one unless given), and read them back."""
+    """Write ``docs`` as shards (a new folder in the shared one unless given), and read them back.
+
+    doc_id, start, n_tokens and ids_crc32 of each row of ``docs``. Null and empty texts hold the end id
+    alone; null doc_ids come first, repeated ones in the order of a hash of their texts, and rows
+    equal in both are written each; an empty table gives no row; more columns are not read.
+    """
     spark = docs.sparkSession
     folder = folder or fresh_dir(spark, "tokens")
     return read_shards(spark, folder, write_shards(docs, folder).collect())
