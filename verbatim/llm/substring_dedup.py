@@ -3,8 +3,9 @@
 Each window of ``length`` consecutive words has a Rabin-Karp hash. Windows travel to the task that
 counts them in runs: consecutive windows with the same least n-gram hash (their anchor) go together
 to the anchor's bucket, so equal windows meet and a run costs one identifier, not one a window. A map
-task sends a hash that it has met more than once a single time, marked, so a passage that a third of
-all documents share reaches its bucket once for each chunk of text, not once for each document. What
+task remembers the hashes that it sent last, in a table of fixed size: one that it meets again is sent
+once more, marked, and then no longer, so a passage that a third of all documents share reaches its
+bucket about twice for each task, not once for each document. What
 is known to be repeated comes back as bit masks over runs, which are or-ed by text, and merge into
 maximal intervals of words when the texts are read again.
 """
@@ -24,6 +25,8 @@ ANCHOR_WORDS = 8
 RUN = 28
 #: Bytes of text whose windows one bucket gets on average.
 BUCKET_BYTES = 12 << 20
+#: A task remembers two to this many window hashes (18 MB).
+MEMORY_BITS = 21
 _HEAD = np.dtype([("t1", "<i8"), ("t2", "<i8"), ("start", "<i4"), ("known", "<u4"), ("sent", "<u4"), ("multi", "<u4")])
 
 
@@ -38,7 +41,27 @@ def anchors(words: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.minimum(least[: len(least) - (span - width)], least[span - width :])
 
 
-def _runs(t1: np.ndarray, t2: np.ndarray, c, length: int, buckets: int):
+class _Sent:
+    """Hashes that a task has sent, and which of them it marked as repeated; a newer one takes an older one's slot."""
+
+    def __init__(self, bits: int = MEMORY_BITS):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.hash, self.used, self.marked = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
+
+    def meet(self, hashes: np.ndarray, multi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(met before, marked before) of a chunk's different hashes, which are then remembered as sent."""
+        slot = (hashes & self.mask).astype(np.int64)
+        met = self.used[slot] & (self.hash[slot] == hashes)
+        told = met & self.marked[slot]
+        self.hash[slot], self.used[slot] = hashes, True
+        # Of hashes that share a slot the last one stays; only what is said of that one may stand there.
+        self.marked[slot] = False
+        stays = self.hash[slot] == hashes
+        self.marked[slot[stays]] = (multi | met)[stays]
+        return met, told
+
+
+def _runs(t1: np.ndarray, t2: np.ndarray, c, length: int, buckets: int, sent: _Sent):
     """(buckets, heads, hashes) of the runs of a chunk's texts, hashes cut by the bits sent."""
     same = pd.DataFrame({"a": t1, "b": t2})
     copied = same.duplicated(keep=False).to_numpy()
@@ -68,6 +91,14 @@ def _runs(t1: np.ndarray, t2: np.ndarray, c, length: int, buckets: int):
     if copied.any():  # an equal window of another text is repeated too
         hot = np.unique(hashes[copied[row]])
         multi |= np.isin(hashes, hot)
+    met, told = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+    # All windows of one hash must agree on being repeated, so the flags go from the first to the rest.
+    any_multi = np.logical_or.reduceat(multi[order], np.flatnonzero(first[order]))
+    one_met, one_told = sent.meet(ordered[np.flatnonzero(first[order])], any_multi)
+    group = np.cumsum(first[order]) - 1
+    met[order], told[order] = one_met[group], one_told[group]
+    multi |= met
+    first &= ~told
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     begin = np.flatnonzero(new)
@@ -86,20 +117,21 @@ def _runs(t1: np.ndarray, t2: np.ndarray, c, length: int, buckets: int):
     bucket[silent] = (mix(head["t1"][silent].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     sizes = np.bitwise_count(head["sent"]).astype(np.int64)
-    sent = hashes[first]
+    sent_hashes = hashes[first]
     upto = np.cumsum(sizes)
     n = sizes[by]
     at = np.repeat(upto[by] - n - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    return bucket[by], head[by], sent[at], n
+    return bucket[by], head[by], sent_hashes[at], n
 
 
 def _send(length: int, buckets: int):
     def run(batches):
+        sent = _Sent()
         for batch in batches:
             t1, t2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for c in chunks(batch.column(2)):
                 to = slice(c.first, c.first + c.rows)
-                found = _runs(t1[to], t2[to], c, length, buckets)
+                found = _runs(t1[to], t2[to], c, length, buckets, sent)
                 if found is None:
                     continue
                 bucket, head, hashes, n = found
