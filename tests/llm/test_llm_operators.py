@@ -217,6 +217,16 @@ def test_edited_copies_from_half_a_score(spark):
     assert {(r.doc_id, r.item_id): r.score for r in found} == want
 
 
+def test_short_items_and_repeating_texts(spark):
+    """Items below a seed's length are whole documents; a text of one trigram over and over is aligned in parts."""
+    items = spark.createDataFrame([(1, "Alpha"), (2, "alpha beta"), (3, " ".join(f"i{k}" for k in range(20))), (4, "again and " * 9)], "item_id long, text string")
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = [(1, "alpha!"), (2, "ALPHA, beta"), (3, "alpha beta gamma"), (4, "again and " * 60_000 + item), (5, "i0 i1 i2 " * 40_000), (6, "x " * (decontaminate.STRETCH - 8) + item + " y" * 50_000)]
+    found = {(r.doc_id, r.item_id): (r.score, r.first_word) for r in decontaminate.find_items(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert {k: v for k, v in found.items() if k[0] != 4} == {(1, 1): (1.0, 0), (2, 2): (1.0, 0), (6, 3): (1.0, decontaminate.STRETCH - 8)}
+    assert found[4, 4] == (1.0, 0) and found[4, 3] == (1.0, 120_000)
+
+
 def test_benchmark_passages(spark, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
     exact = {(d, i) for d, t in texts.items() for i, u in items.items() if u in t}
@@ -353,6 +363,28 @@ def test_substrings(spark, texts, length):
         assert (r.n_words, r.n_removed, r.kept) == (len(w), gone.sum(), b" ".join(x for x, g in zip(w, gone, strict=True) if not g))
 
 
+@pytest.mark.parametrize("bits", [21, 3])
+def test_windows_met_again_by_one_task(bits, monkeypatch):
+    """Runs of texts that one task reads after another, with room for all hashes or for eight."""
+    import pandas as pd
+    import pyarrow as pa
+
+    monkeypatch.setattr(substring_dedup._Sent.__init__, "__defaults__", (bits,))
+    rng = np.random.default_rng(15)
+    passage = [f"p{i}" for i in range(12)]
+    texts = [" ".join([*(str(x) for x in rng.integers(0, 400, 20)), *(passage if i % 3 == 0 else []), *(str(x) for x in rng.integers(0, 400, 9))]) for i in range(60)]
+    texts += texts[:5]
+    batches = [pa.RecordBatch.from_arrays([pa.array([hash(t) for t in part]), pa.array([len(t) for t in part]), pa.array(part)], ["t1", "t2", "text"]) for part in (texts[i : i + 4] for i in range(0, len(texts), 4))]
+    sent = pd.concat([b.to_pandas() for b in substring_dedup._send(5, 4)(iter(batches))])
+    masks = pd.concat([substring_dedup._count(part) for _, part in sent.groupby("bucket")])
+    got = {(t1, start + bit) for t1, start, mask in zip(masks["t1"], masks["start"], masks["mask"], strict=True) for bit in range(substring_dedup.RUN) if mask >> bit & 1}
+    words = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + 5]) for w in words for i in range(len(w) - 4))
+    assert got == {(hash(t), i) for t, w in zip(texts, words, strict=True) for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1}
+    if bits == 21:  # the shared passage's windows reach their buckets twice at most
+        assert Counter(np.frombuffer(b"".join(sent["hashes"]), "<u8").tolist()).most_common(1)[0][1] == 2
+
+
 def brute_components(sets, need, of):
     part = {d: d for d in sets}
 

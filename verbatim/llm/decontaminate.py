@@ -4,7 +4,8 @@ All word trigrams of the items are seeds, and their places in all documents are
 at document word p and item word q proposes that the item begins near p - q; the proposal is checked by
 Smith-Waterman alignment of the item's words with the document's words around it. An alignment without
 three equal words in a row has no seed and isn't found. Of m item words, some left out or replaced, such
-a one scores 0.5 + 1 / m at most; with words put in between, up to about 0.75.
+a one scores 0.5 + 1 / m at most; with words put in between, up to about 0.75. An item of one or two
+words has no trigram; its seed is the item itself, and it is found only in a document of just its words.
 """
 
 from __future__ import annotations
@@ -15,19 +16,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, likely_in
-from .textkit import NOT_TERM, chunks, run_hashes, run_starts, split_words, word_hashes
+from .textkit import NOT_TERM, chunks, mix, run_hashes, run_starts, split_words, word_hashes
 
 SEED_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the score of an exact copy from which an alignment counts.
 LEAST_SCORE = 0.5
-#: Most seeds for which a table of bits goes to all tasks; beyond it every n-gram goes to the join.
-MOST_SENT = 4_000_000
+#: A table of this many bits, as a power of two, tells all tasks which trigrams may be seeds (2 MB whatever their number).
 BITS = 24
+#: Words of a text that are aligned at once; longer stretches go in parts that overlap by more than any alignment's length.
+STRETCH = 1 << 15
 #: Alignments made at once, and the most words of text in them together (a longer one is made alone).
 TOGETHER, WORDS_TOGETHER = 256, 1 << 17
 
 
+def whole_short(words: np.ndarray, counts: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, seeds) of the rows that have fewer words than a seed, but some: one seed for all words."""
+    rows = np.flatnonzero((counts > 0) & (counts < SEED_WORDS))
+    return rows, np.array([mix(run_hashes(words[offsets[r] : offsets[r + 1]], int(counts[r])) + counts[r : r + 1].astype(np.uint64))[0] for r in rows.tolist()], np.uint64)
+
+
 def _items(batches):
     schema = pa.schema([("item_id", pa.int64()), ("words", pa.binary()), ("seeds", pa.list_(pa.struct([("seed", pa.int64()), ("q", pa.int64())])))])
     for batch in batches:
@@ -35,25 +43,41 @@ def _items(batches):
             words = word_hashes(c)
             runs, at, upto = run_hashes(words, SEED_WORDS).view(np.int64), run_starts(c.counts, SEED_WORDS), c.word_offsets
             rows = [[{"seed": int(runs[i]), "q": int(i - upto[r])} for i in at[np.searchsorted(at, upto[r]) : np.searchsorted(at, upto[r + 1])]] for r in range(c.rows)]
+            for r, seed in zip(*(x.tolist() for x in whole_short(words, c.counts, upto)), strict=True):
+                rows[r] = [{"seed": int(np.uint64(seed).view(np.int64)), "q": 0}]
             own = [words[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).slice(c.first, c.rows), pa.array(own, pa.binary()), pa.array(rows, schema.types[2])], schema=schema)
 
 
 def _places(bits):
     def run(batches):
+        table = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             ids, ties = batch.column(0).cast(pa.int64()), batch.column(1)
             for c in chunks(batch.column(2), lower=True, apart=NOT_TERM):
-                runs, at = run_hashes(word_hashes(c), SEED_WORDS), run_starts(c.counts, SEED_WORDS)
-                if bits is not None:
-                    at = at[bits.value[(runs[at] >> np.uint64(64 - BITS)).astype(np.int64)]]
+                words = word_hashes(c)
+                runs, at = run_hashes(words, SEED_WORDS), run_starts(c.counts, SEED_WORDS)
                 row = np.repeat(np.arange(c.rows), c.counts)[at] if len(at) else np.zeros(0, np.int64)
-                to = pa.array(row + c.first)
-                yield pa.RecordBatch.from_arrays([ids.take(to), ties.take(to), pa.array(runs[at].view(np.int64)), pa.array(at - c.word_offsets[row])], ["doc_id", "tie", "seed", "p"])
+                short, own = whole_short(words, c.counts, c.word_offsets)
+                seed, row, p = np.append(runs[at], own), np.append(row, short), np.append(at - c.word_offsets[row], np.zeros(len(short), np.int64))
+                keep = np.flatnonzero(table[(seed & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+                to = pa.array(row[keep] + c.first)
+                yield pa.RecordBatch.from_arrays([ids.take(to), ties.take(to), pa.array(seed[keep].view(np.int64)), pa.array(p[keep])], ["doc_id", "tie", "seed", "p"])
 
     return run
 
 
+def _table(seeds: DataFrame) -> bytes:
+    """A bit for the low BITS of each seed, put together by Spark: 4 KB a row, at most 512 rows."""
+    place = F.pmod(F.col("seed"), F.lit(1 << BITS)) + 1
+    rows = seeds.select(place.alias("k")).groupBy(F.bitmap_bucket_number("k").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("bits")).collect()
+    whole = bytearray(1 << (BITS - 3))
+    for r in rows:
+        part = bytes(r["bits"])
+        whole[(r["bucket"] - 1) * len(part) : r["bucket"] * len(part)] = part
+    return bytes(whole)
+
+
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local alignment of each row pair: (score, first text word, word after the last).
 
@@ -118,8 +142,9 @@ def _check(least_score: float):
                     # An alignment of the least score has no more words of the text left out of the item.
                     pad = int(np.ceil(MATCH * len(item) * (1 - least_score))) + 1
                     starts = np.sort(np.array(p["starts"]))
-                    for part in np.split(starts, np.flatnonzero(np.diff(starts) > pad) + 1):
-                        a, b = max(0, part[0] - pad), part[-1] + len(item) + pad
+                    near = [(max(0, part[0] - pad), min(len(words), part[-1] + len(item) + pad)) for part in np.split(starts, np.flatnonzero(np.diff(starts) > pad) + 1)]
+                    reach = len(item) + pad
+                    for a, b in ((x, min(to, x + STRETCH + reach)) for since, to in near for x in range(since, max(since + 1, to - reach), STRETCH)):
                         if tasks and (len(tasks) >= TOGETHER or (len(tasks) + 1) * max(wide, b - a) > WORDS_TOGETHER):
                             yield flush(tasks)
                             tasks, wide = [], 0
@@ -136,21 +161,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST
 
     ``docs``: doc_id, text. ``benchmark``: item_id, text. Words are runs of letters, digits and
     non-ASCII characters, A-Z lower-cased. score is the alignment's share of an exact copy's; first_word
-    and last_word count from 0. Null and empty texts hold nothing, and items of fewer words than a
-    seed are nowhere found. ``tie`` is a hash of the text: rows that repeat both doc_id and text give
+    and last_word count from 0. Null and empty texts and items hold nothing; an item of one or two words
+    is found in documents of just these words. Very long texts are aligned in overlapping parts. ``tie`` is a hash of the text: rows that repeat both doc_id and text give
     one result, equal items one each; null ids are kept; more columns are left out.
     """
     spark = docs.sparkSession
     items = cut(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().mapInArrow(_items, "item_id long, words binary, seeds array<struct<seed: long, q: long>>"))
     items = items.filter(F.size("seeds") > 0).withColumn("item", F.xxhash64("item_id", "words"))
     seeds = items.select("item", F.explode("seeds").alias("s")).select("item", "s.seed", "s.q")
-    distinct = cut(seeds.select("seed").distinct())
-    bits = None
-    if distinct.count() <= MOST_SENT:
-        table = np.zeros(1 << BITS, bool)
-        known = np.array([r[0] for r in distinct.collect()], np.int64).view(np.uint64)
-        table[(known >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        bits = spark.sparkContext.broadcast(table)
+    bits = spark.sparkContext.broadcast(_table(seeds))
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
     places = rows.mapInArrow(_places(bits), "doc_id long, tie long, seed long, p long")
     hits = places.join(seeds, "seed").groupBy("doc_id", "tie", "item").agg(F.collect_set(F.col("p") - F.col("q")).alias("starts"))
