@@ -103,3 +103,18 @@ def test_vectors(spark):
     got = vector_search.search(vectors, vectors.filter("vec_id = 0")).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 7, -1.0)]
     assert vector_search.search(vectors.limit(0), vectors).count() == 0
+
+
+def test_vectors_of_several_lengths_and_repeated_queries(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(40, [1.0, 2.0, 3.0]), (41, [1.0]), (5, [5.0, 2.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.search(vectors, vectors.filter("vec_id in (5, 40)"), top=3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(5, 1, 29, 146.0), (5, 2, 28, 141.0), (5, 3, 27, 136.0)]
+
+
+def test_vectors_in_few_visited_lists(spark):
+    """A query whose visited lists hold too few rows is run again over all."""
+    rows = [(i, [1.0, 0.001 * i]) for i in range(64)] + [(100 + i, [-1.0, 0.001 * i]) for i in range(200)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_search.search(vectors, vectors.filter("vec_id = 1"), top=100, probes=1, lists=2).collect()
+    assert len(got) == 100 and sum(r.vec_id < 100 for r in got) == 63
