@@ -10,7 +10,7 @@ compares the words themselves besides their hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Base phrases and their labels.
@@ -33,6 +33,11 @@ LEAST_COVERED = 0.7
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case, all else as it is."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def template_grams(spark, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """One row for each pair of consecutive words of each template (64 pairs at most)."""
     rows = []
@@ -53,7 +58,7 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, least_c
     row of ``docs`` gives one row, also where doc_id is null or repeated; more columns are left out.
     score is the largest covered share of a template, 1 where a base phrase stands.
     """
-    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("words"))
+    words = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(lower_ascii(F.coalesce("text", F.lit(""))), F.lit(WORD), 0).alias("words"))
     sized = words.withColumn("n_words", F.size("words").cast("long"))
     pairs = sized.select("doc_id", "row", "n_words", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", F.lit(2), F.size("words")).alias("b"))).alias("p", "pair"))
     pairs = pairs.select("doc_id", "row", "n_words", "p", F.col("pair.a").alias("wa"), F.col("pair.b").alias("wb"))
