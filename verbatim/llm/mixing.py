@@ -143,13 +143,19 @@ def balanced_take(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEA
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns; one that the mix takes n times comes n times."""
+    """The documents of the mix with all their columns; one that the mix takes n times comes n times.
+
+    Null and empty texts have size 0 and come as often as their probability says; null sources, doc_ids
+    and repeated rows count as in balanced_take. Rows equal in doc_id, text and source share their
+    copies in the order of a hash of all columns, so reruns take the same ones. An empty table gives
+    an empty mix; further columns may have any name.
+    """
     names = docs.columns
     take = balanced_take(docs, **options).filter("copies > 0")
     # Equal rows of one source may differ in copies; number them on both sides, so that each meets its own.
     key = ["_id", "_tie", "_source"]
-    nth = Window.partitionBy(*key).orderBy(F.lit(0))
-    left = docs.select(F.struct(*names).alias("whole_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("source").alias("_source"))
+    nth = Window.partitionBy(*key).orderBy("_all")
+    left = docs.select(F.struct(*names).alias("whole_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_tie"), F.col("source").alias("_source"), F.xxhash64(F.to_json(F.struct(*names))).alias("_all"))
     per = take.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("source").alias("_source"), "copies").groupBy(*key, "copies").agg(F.count(F.lit(1)).alias("n"))
     per = per.withColumn("_to", F.sum("n").over(Window.partitionBy(*key).orderBy("copies"))).withColumn("_from", F.col("_to") - F.col("n"))
     per = per.select(*[F.col(k).alias(f"{k}2") for k in key], "copies", "_from", "_to")
