@@ -2,13 +2,16 @@
 
 The network reads overlapping windows of characters and tags each character as outside, or as the
 first or a further one of an email, ip, card or phone. It is trained in numpy on generated text in
-which the spans are known. A window's best tag sequence comes from the CRF's transitions; spans of
-all windows of a document are then reconciled: those cut off by a window's inner edge give way, of
-overlapping ones the best scored stays, and spans of the fixed patterns always stay.
+which the spans are known, and then on windows of the documents, labelled by the fixed patterns. A
+window's best tag sequence comes from the CRF's transitions. The windows of a document are reconciled
+before spans are cut: where two overlap, each character's tag comes from the window in whose middle it
+is, so spans may be of any length and lie at any offset. Of overlapping spans the best scored stays.
+Spans of the fixed patterns always stay; an added one may hold a fixed one whole, never cut it.
 
 A span that the network adds must hold what its kind can't do without (an @ between characters, or
-enough digits). A window without that, outside the fixed patterns' spans, can add nothing, so it
-isn't decoded; no other window is left out.
+enough digits), or more than the fixed span inside it. A window without that outside the fixed spans,
+which also touches no letter or digit next to a fixed span, can add nothing; it isn't decoded unless
+its neighbour is.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textkit import chunks
 
@@ -34,7 +38,9 @@ EMBED, HIDDEN = 8, 16
 TAGS = 1 + 2 * len(KINDS)
 #: Least mean probability of a span's tags for it to be added, and least digits of an added phone.
 LEAST_SURE, LEAST_DIGITS = 0.9, 9
-TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 4000, 6, 64, 0.01
+TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 5000, 8, 64, 0.01
+#: Labelled windows of the documents that the tagger is tuned on at most, those of the texts with the least hashes; windows of one text.
+TUNE_WINDOWS, TUNE_EPOCHS, TUNE_RATE, OF_TEXT = 1024, 2, 0.003, 4
 
 _OWN = "@.+-_()/:,;'\"#$%&*=!?[]{}<>|\\\n\t "
 CLASSES = 5 + len(_OWN)
@@ -107,8 +113,9 @@ def training_text(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int
         return pick((f"+{num(2)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{num(2)} {a} {b}{c}", f"+{num(1)}{a}{b}{c}", f"+{num(2)}/{a}/{b}-{c}", f"0{a} {b}{c}"))
 
     def email() -> str:
-        host = pick((f"{word()}.{pick(('com', 'org', 'net', 'de'))}", f"{word()}-{word()}.{word()}.{pick(('com', 'fr'))}"))
-        return pick((f"{word()}.{word()}@{host}", f"{word()}{num(2)}@{host}", f"{word()} @ {host}", f"{word()}ü{word()}@{host}", f"{word()}@{word()}ö.de"))
+        name = pick((word(), f"{word()}.{word()}", f"{word()}{num(2)}", f"{word()}.{word()}.{word()}{num(2)}", f"{word()}_{word()}", f"{word()}ü{word()}"))
+        host = pick((f"{word()}.{pick(('com', 'org', 'net', 'de'))}", f"{word()}-{word()}.{word()}.{pick(('com', 'fr'))}", f"{word()}ö.de", f"{word()}.{word()}ä.{pick(('com', 'de'))}"))
+        return name + pick(("@", "@", " @ ", "@ ", " @")) + host
 
     def ip() -> str:
         sep = pick((".", ".", " . ", "[.]"))
@@ -120,18 +127,21 @@ def training_text(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int
     made = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW:
+        while len(text) < 3 * WINDOW:
             kind = int(rng.integers(0, 14))
             piece = (email, ip, card, phone)[kind]() if kind < 4 else other()
-            if kind < 4 and len(text) + len(piece) <= WINDOW:
+            if kind < 4:
                 spans.append((len(text), len(text) + len(piece), kind))
-            elif kind < 4:
-                piece = word()
             text += piece + pick((" ", " ", " ", "\n", ", "))
-        made.append((text[:WINDOW], spans))
+        made.append(window_of(text, spans, int(rng.integers(0, 2 * WINDOW))))
     return made
 
 
+def window_of(text: str, spans: list[tuple[int, int, int]], at: int) -> tuple[str, list[tuple[int, int, int]]]:
+    """A window of the text with its spans, those that begin before it too (then with a negative start)."""
+    return text[at : at + WINDOW], [(a - at, min(b - at, WINDOW), k) for a, b, k in spans if b > at and a < at + WINDOW]
+
+
 def _sigmoid(v: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * v) + 1)
 
@@ -231,18 +241,21 @@ class Tagger:
         np.add.at(g["e"], code.ravel(), dx.reshape(-1, EMBED))
         return g
 
-    def fit(self, made: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = 17) -> Tagger:
-        code = np.stack([classes(t) for t, _ in made])
+    def fit(self, made: list[tuple[str, list[tuple[int, int, int]]]], epochs: int = EPOCHS, seed: int = 17, most: float = RATE) -> Tagger:
+        code = np.full((len(made), WINDOW), 5 + _OWN.index(" "))
+        for r, (text, _) in enumerate(made):
+            code[r, : len(text)] = classes(text)
         tags = np.zeros_like(code)
         for r, (_, spans) in enumerate(made):
             for start, end, kind in spans:
-                tags[r, start:end] = 2 + 2 * kind
-                tags[r, start] = 1 + 2 * kind
+                tags[r, max(0, start) : end] = 2 + 2 * kind
+                if start >= 0:
+                    tags[r, start] = 1 + 2 * kind
         rng, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(epochs):
             order = rng.permutation(len(code))
-            rate = RATE * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
+            rate = most * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
             for at in (order[i : i + BATCH] for i in range(0, len(order), BATCH)):
                 step += 1
                 g = self.gradient(code[at], tags[at])
@@ -257,10 +270,49 @@ class Tagger:
 
 @functools.lru_cache(maxsize=1)
 def trained() -> Tagger:
-    """The tagger, trained once in a process; what it learns from is generated, so it is the same everywhere."""
+    """The tagger of generated text, trained once in a process; the same everywhere."""
     return Tagger().fit(training_text(TRAIN_WINDOWS))
 
 
+def labelled_windows(docs: DataFrame, n: int = TUNE_WINDOWS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most ``n`` windows around fixed spans of the documents, with all fixed spans in them."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(0).to_pylist():
+                spans = _apart(base_spans(text))
+                for i in range(0, len(spans), max(1, -(-len(spans) // OF_TEXT))):
+                    a, b, _ = spans[i]
+                    own, inside = window_of(text, spans, max(0, (a + b) // 2 - WINDOW // 2 - (a * 31 + b) % (WINDOW // 2) + WINDOW // 4))
+                    rows.append({"text": own, "spans": [list(x) for x in inside]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))]))
+
+    some = docs.filter(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|[0-9]\.[0-9]+\.[0-9]|\+[0-9][ ().0-9-]{8}|([0-9][ -]?){12}")).select("text").distinct()
+    found = some.mapInArrow(run, "text string, spans array<array<long>>").orderBy(F.xxhash64("text"), "text").limit(n).collect()
+    return [(r["text"], [tuple(x) for x in r["spans"]]) for r in found]
+
+
+def _apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of spans of several kinds that overlap, the longest, so that each character has one tag."""
+    kept: list[tuple[int, int, int]] = []
+    for a, b, k in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+        if all(b <= x or a >= y for x, y, _ in kept):
+            kept.append((a, b, k))
+    return sorted(kept)
+
+
+def tuned(docs: DataFrame) -> Tagger:
+    """The tagger, tuned on windows of the documents and as many generated ones."""
+    own = labelled_windows(docs)
+    base = trained()
+    if not own:
+        return base
+    tagger = Tagger()
+    tagger.p = {k: v.copy() for k, v in base.p.items()}
+    return tagger.fit(own + training_text(len(own), seed=23), epochs=TUNE_EPOCHS, most=TUNE_RATE)
+
+
 def fits(kind: int, s: str) -> bool:
     """What an added span must hold."""
     d = _digits(s)
@@ -276,55 +328,92 @@ def fits(kind: int, s: str) -> bool:
 
 
 def windows(text: str, base: list[tuple[int, int, int]]) -> list[int]:
-    """Starts of the windows that can add a span: those with an @ or four digits outside the fixed patterns' spans."""
+    """Numbers of the windows to decode: those that can add a span, and their neighbours; window i begins at i * STRIDE.
+
+    A window can if it has an @ or four digits outside the fixed spans, or a letter or digit right beside one.
+    """
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     digit, mark = (code >= 48) & (code <= 57), code == 64
     for start, end, _ in base:
         digit[start:end] = mark[start:end] = False
+    for start, end, _ in base:
+        for i in (start - 1, end):
+            if 0 <= i < len(text) and text[i].isalnum() and not any(a <= i < b for a, b, _ in base):
+                mark[i] = True
     d, a = (np.append(0, np.cumsum(x)) for x in (digit, mark))
-    starts = np.arange(0, max(1, len(text) - WINDOW + STRIDE), STRIDE)
+    n = max(1, -(-(len(text) - WINDOW + STRIDE) // STRIDE))
+    starts = np.arange(n) * STRIDE
     ends = np.minimum(len(text), starts + WINDOW)
-    return starts[(d[ends] - d[starts] >= 4) | (a[ends] > a[starts])].tolist()
+    can = (d[ends] - d[starts] >= 4) | (a[ends] > a[starts])
+    can[1:], can[:-1] = can[1:] | can[:-1], can[:-1] | can[1:]
+    return np.flatnonzero(can).tolist()
+
+
+def _stretches(numbers: list[int]) -> list[list[int]]:
+    """Runs of consecutive windows."""
+    out: list[list[int]] = []
+    for w in numbers:
+        if out and out[-1][-1] == w - 1:
+            out[-1].append(w)
+        else:
+            out.append([w])
+    return out
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[int, int, int]]], tagger: Tagger) -> list[list[tuple[int, int, int]]]:
     """The spans that the tagger adds to each text."""
     tasks = [(i, w) for i, t in enumerate(texts) for w in windows(t, bases[i])]
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    tags, sure = {}, {}
     for at in range(0, len(tasks), 512):
         own = tasks[at : at + 512]
         code = np.full((len(own), WINDOW), 5 + _OWN.index(" "))
         for r, (i, w) in enumerate(own):
-            part = classes(texts[i][w : w + WINDOW])
+            part = classes(texts[i][w * STRIDE : w * STRIDE + WINDOW])
             code[r, : len(part)] = part
         e, _ = tagger.emissions(code)
-        tags, (sure, _) = tagger.decode(e), tagger.marginals(e)
-        for r, (i, w) in enumerate(own):
-            tag, t = tags[r], 0
-            while t < WINDOW:
-                if tag[t] == 0:
-                    t += 1
-                    continue
-                kind, start = (int(tag[t]) - 1) // 2, t
-                t += 1
-                while t < WINDOW and tag[t] == 2 + 2 * kind:
-                    t += 1
-                a, b = w + start, min(w + t, len(texts[i]))
-                if (start == 0 and w > 0) or (t == WINDOW and b < len(texts[i])):
-                    continue  # cut off here, whole in a neighbour
-                score = float(sure[r, start:t][np.arange(t - start), tag[start:t]].mean())
-                if score >= LEAST_SURE and fits(kind, texts[i][a:b]):
-                    found[i].append((-score, a, b, kind))
+        best, single = tagger.decode(e), tagger.marginals(e)[0]
+        of_tag = np.take_along_axis(single, best[:, :, None], 2)[:, :, 0]
+        for r, task in enumerate(own):
+            tags[task], sure[task] = best[r].astype(np.int8), of_tag[r].astype(np.float32)
+    margin = (WINDOW - STRIDE) // 2
+    of_text: list[list[int]] = [[] for _ in texts]
+    for i, w in tasks:
+        of_text[i].append(w)
     out = []
-    for i, spans in enumerate(found):
+    for i, text in enumerate(texts):
+        found = []
+        for run in _stretches(of_text[i]):
+            found += _cut_spans(text, run, [tags[i, w] for w in run], [sure[i, w] for w in run], margin)
         kept: list[tuple[int, int, int]] = []
-        for _, a, b, kind in sorted(set(spans)):
-            if all(b <= x or a >= y for x, y, _ in [*bases[i], *kept]):
+        for _, a, b, kind in sorted(set(found)):
+            inner = [(x, y, k) for x, y, k in bases[i] if x < b and y > a]
+            whole = all(a <= x and y <= b for x, y, _ in inner) and (a, b) not in {(x, y) for x, y, _ in inner}
+            # More of a fixed span of its own kind, or a span of its own; never one that other kinds fill.
+            if whole and all(k == kind for *_, k in inner) and all(b <= x or a >= y for x, y, _ in kept):
                 kept.append((a, b, kind))
         out.append(sorted(kept))
     return out
 
 
+def _cut_spans(text: str, run: list[int], tags: list[np.ndarray], sure: list[np.ndarray], margin: int) -> list[tuple[float, int, int, int]]:
+    """(-score, start, end, kind) of the spans in a stretch of windows, each character tagged by the window in whose middle it is."""
+    since = run[0] * STRIDE
+    cut = [(0 if r == 0 else margin, WINDOW if r == len(run) - 1 else WINDOW - margin) for r in range(len(run))]
+    tag = np.concatenate([t[a:b] for t, (a, b) in zip(tags, cut, strict=True)])
+    p = np.concatenate([t[a:b] for t, (a, b) in zip(sure, cut, strict=True)])
+    tag = tag[: max(0, len(text) - since)]
+    kind = np.where(tag > 0, (tag.astype(np.int64) - 1) // 2, -1)
+    new = np.ones(len(tag), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)
+    begin = np.flatnonzero(new)
+    out = []
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(tag)).tolist(), strict=True):
+        score = float(p[a:b].mean()) if kind[a] >= 0 else 0.0
+        if score >= LEAST_SURE and fits(int(kind[a]), text[since + a : since + b]):
+            out.append((-score, since + a, since + b, int(kind[a])))
+    return out
+
+
 def _listed(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
@@ -336,7 +425,7 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None) -> DataFra
     (counts 0, spans empty). Null and repeated doc_ids are kept, and equal texts get equal spans;
     more columns are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
+    shared = docs.sparkSession.sparkContext.broadcast(tagger or tuned(docs))
 
     def run(batches):
         for batch in batches:
