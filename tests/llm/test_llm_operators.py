@@ -248,7 +248,8 @@ def test_exact_neighbours():
     vectors = rng.random((500, 30)) * (rng.random((500, 30)) < 0.2)
     vectors /= np.maximum(1e-12, np.sqrt((vectors**2).sum(1)))[:, None]
     vectors[100] = vectors[5]
-    index = toxicity.BlockMaxIndex(vectors)
+    places = [np.flatnonzero(v) for v in vectors]
+    index = toxicity.BlockMaxIndex(places, [v[at] for v, at in zip(vectors, places, strict=True)], 30)
     for q in vectors[:40]:
         at = np.flatnonzero(q)
         found, cosine = index.nearest(at, q[at], 10)
