@@ -241,6 +241,7 @@ def test_held_out(spark, name, label, least):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
     assert np.mean([a == b for a, b in held]) >= least
+    assert np.mean([a for a, b in held if b]) >= 0.75
 
 
 def test_exact_neighbours():
@@ -508,3 +509,14 @@ def test_pipeline(spark):
     assert np.mean([(d in kept) == bool(q) for d, q in labels.items()]) > 0.9
     rows = corpus_pipeline.run(spark, SF_DIR).collect()
     assert 0 < len(rows) and sum(r.n_tokens for r in rows) == max(r.start + r.n_tokens for r in rows)
+
+
+def test_passages_see_the_words():
+    """Two texts of one shape and other words have other passages."""
+    import pyarrow as pa
+
+    from verbatim.llm.textkit import chunks
+
+    (c,) = chunks(pa.array(["plain words stand here", "other terms came there"]))
+    n, x = quality.passages(c)
+    assert n.tolist() == [1, 1] and np.abs(x[0, quality.SHAPE :] - x[1, quality.SHAPE :]).max() > 0.2

@@ -1,7 +1,8 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Each passage is a vector of shape statistics (kinds of characters,
-lengths, repetition), encoded by a hidden layer; gated attention weighs the passages, and the
+A document is a bag of passages. Each passage is a vector of what its words are (signed sums of hashed
+words and of hashed word beginnings) and of their shape (kinds of characters, lengths, repetition),
+encoded by a hidden layer; gated attention weighs the passages, and the
 weighted mean of their codes gives the score. Only documents are labelled: which passages matter is
 learned. Training is Adam in numpy on a bounded sample of labelled documents.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, learning_sample
-from .textkit import chunks, mix, word_hashes
+from .textkit import chunks, mix, span_hashes, word_hashes
 
 #: Labelled rows of either class that are learned from.
 EXAMPLES = 2500
@@ -32,7 +33,11 @@ _KIND[[ord(x) for x in "#$%&*+=<>@^_~{}[]\\/"]] = 6
 _KIND[ord("|")] = 7
 _KIND[ord("!")] = 8
 _KINDS = 9
-FEATURES = _KINDS + 9
+SHAPE = _KINDS + 9
+#: Places for hashed words, and as many for hashed beginnings of words.
+HASHED, BEGINNING = 32, 3
+HASHED_SCALE = 6.0
+FEATURES = SHAPE + 2 * HASHED
 
 
 def passages(c) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +79,10 @@ def passages(c) -> tuple[np.ndarray, np.ndarray]:
     x[at, _KINDS + 6] = mean(length == 1)
     x[at, _KINDS + 7] = mean(length > 20)
     x[at, _KINDS + 8] = np.log1p(words) / 4
+    for part, of in enumerate((h, span_hashes(c, c.starts, np.minimum(c.ends, c.starts + BEGINNING)))):
+        sign = 1.0 - 2.0 * ((of >> np.uint64(40)) & np.uint64(1)).astype(float)
+        sums = np.bincount(of_word * HASHED + (of % np.uint64(HASHED)).astype(np.int64), sign, minlength=total * HASHED).reshape(total, HASHED)
+        x[at, SHAPE + part * HASHED : SHAPE + (part + 1) * HASHED] = sums[at] / words[:, None]
     return n, x
 
 
@@ -117,6 +126,8 @@ class AttentionModel:
     def fit(self, bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 5) -> AttentionModel:
         every = np.concatenate(bags)
         self.mean, self.scale = every.mean(0), every.std(0) + 0.02
+        # Each hashed place says little alone and there are many; unscaled they would be learned by heart.
+        self.scale[SHAPE:] *= HASHED_SCALE
         rng, step = np.random.default_rng(seed), 0
         m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for epoch in range(EPOCHS):
