@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Texts are TF-IDF vectors over all terms of the examples: words and their first letters (which catch
-inflected forms). A term's weight is its frequency in the text times its idf, times how much its
+Texts are TF-IDF vectors over all words of the examples, and over those beginnings of words that tell
+of the label (which catch inflected forms). A term's weight is its frequency in the text times its idf, times how much its
 presence among the labelled rows tells of the label: this factor is never 0, so every term has its
 postings and every text its neighbours, but prose that all texts share doesn't decide which are near.
 Examples stand in an inverted index: a term's postings are example numbers and weights, cut into
@@ -30,12 +30,12 @@ BLOCK = 128
 #: A term has a full row of postings if at least one example in so many holds it. Texts whose full rows are added at once.
 FULL, TEXTS_TOGETHER = 12, 256
 #: G statistic up to which a term's association with the label may be chance, and the factor of such terms.
-CHANCE, LEAST_FACTOR = 8.0, 0.15
+CHANCE, LEAST_FACTOR = 8.0, 0.25
 THRESHOLD = 0.7
 
 
 def row_terms(c) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term hash) of every word of the chunk and of its prefixes."""
+    """(row, term hash) of every word of the chunk, an even hash, and of its prefixes, odd ones."""
     row = np.repeat(np.arange(c.rows), c.counts)
     bounds, rows = [c.starts, c.ends], [row]
     for n in PREFIXES:
@@ -44,7 +44,9 @@ def row_terms(c) -> tuple[np.ndarray, np.ndarray]:
         rows.append(row[long])
     hashes = span_hashes(c, *bounds)
     marks = np.repeat(np.arange(len(rows), dtype=np.uint64), [len(r) for r in rows])
-    return np.concatenate(rows), mix(hashes + marks)
+    term = mix(hashes + marks) & ~np.uint64(1)
+    term[len(row) :] |= np.uint64(1)
+    return np.concatenate(rows), term
 
 
 def _terms_of_sample(batches):
@@ -169,8 +171,12 @@ class Model:
         # From LEAST_FACTOR to 1: by how sure the term's association is and how far it leans from half and half.
         sure = np.maximum(0.0, g - CHANCE) / (np.maximum(0.0, g - CHANCE) + CHANCE)
         factor = LEAST_FACTOR + (1 - LEAST_FACTOR) * sure * np.maximum(0.0, 2 * leans - 1) ** 0.5
-        self.idf = (1 + np.log(max(1, len(terms)) / np.maximum(1, rows_1 + rows_0))) * factor
+        keep = (self.vocabulary & np.uint64(1) == 0) | (factor > LEAST_FACTOR)
+        self.idf = ((1 + np.log(max(1, len(terms)) / np.maximum(1, rows_1 + rows_0))) * factor)[keep]
+        self.vocabulary = self.vocabulary[keep]
+        del every, owner, code, rows_1, rows_0, g, leans, sure, factor
         own = [self.vector(t, f) for t, f in zip(terms, tf, strict=True)]
+        del terms, tf
         self.index = BlockMaxIndex([a for a, _ in own], [w for _, w in own], len(self.vocabulary))
         #: The share of label 1 among all labelled rows, for texts without any known term.
         self.prior = float((self.weight * y).sum() / self.weight.sum()) if self.weight.sum() else 0.0
@@ -221,8 +227,9 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
     sample, counts = learning_sample(docs, labels, label, examples)
-    rows = sample.mapInArrow(_terms_of_sample, "y int, terms binary, tf binary").collect()
-    return Model([np.frombuffer(r["terms"], "<u8") for r in rows], [np.frombuffer(r["tf"], "<u4") for r in rows], np.array([r["y"] for r in rows], np.int64), counts)
+    table = sample.mapInArrow(_terms_of_sample, "y int, terms binary, tf binary").toArrow()
+    terms, tf = ([np.frombuffer(x.as_buffer(), of) for x in table.column(name)] for name, of in (("terms", "<u8"), ("tf", "<u4")))
+    return Model(terms, tf, table.column("y").to_numpy().astype(np.int64), counts)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
