@@ -341,21 +341,7 @@ def _sets(k: int):
             for c in chunks(batch.column(0), lower=True):
                 ends, hashes = shingle_sets(c, k)
                 at = np.append(0, ends)
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(ends, hashes)), pa.array([hashes[a:b].tobytes() for a, b in zip(at, ends, strict=False)], pa.binary())], ["node", "members"])
-
-    return run
-
-
-def _verify(need: int, of: int):
-    def run(batches):
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            linked = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                linked.append(of * both >= need * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(ends, hashes)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "members"])
 
     return run
 
@@ -425,7 +411,7 @@ def _near(need: int, of: int):
 
 def _sketches(batches):
     for batch in batches:
-        members = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(1)]
+        members = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in members], pa.int64()), pa.array([sketch(m).tobytes() for m in members], pa.binary())], ["node", "n", "sketch"])
 
 
@@ -462,12 +448,12 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
     texts = likely_in(rows, "tie", picks).join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
-    sets = cut(texts.mapInArrow(_sets(k), "node long, members binary").dropDuplicates(["node"]))
+    sets = cut(texts.mapInArrow(_sets(k), "node long, members array<long>").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-        return both.mapInArrow(_verify(need, of), "a long, b long")
+        sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+        return sized.filter(of * F.col("both") >= need * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
     def stars(met_with: DataFrame) -> DataFrame:
         """Each node (a) and the hub (b) that it meets most often."""

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
