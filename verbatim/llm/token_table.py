@@ -45,7 +45,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text in one shard; small tables are cut finer, to give all cores work.
 SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -247,6 +247,20 @@ class TextEncoder:
         self.of_word: dict[bytes, int] = {}
         self.flat, self.begin = array("I"), array("q", [0])
 
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words: the library encodes them as one text, and a token is of the word that its first character is in."""
+        if not words:
+            return
+        plain = [w.decode() for w in words]
+        found = self.whole.encode(" ".join(plain), add_special_tokens=False)
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+        first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+        count = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(words))
+        known = len(self.begin) - 1
+        self.of_word.update(zip(words, range(known, known + len(words)), strict=True))
+        self.begin.extend((len(self.flat) + np.cumsum(count)).tolist())
+        self.flat.extend(found.ids)
+
     def _places(self, c: Chunk) -> np.ndarray:
         """The place of each word of the chunk among the remembered ones."""
         hashes = word_hashes(c)
@@ -261,15 +275,10 @@ class TextEncoder:
         if unequal.any():
             differs[np.repeat(np.arange(len(n)), size)[unequal]] = True
         alone = np.flatnonzero(differs)
-        words = [c.data[c.starts[i] : c.ends[i]].tobytes() for i in [*first.tolist(), *alone.tolist()]]
-        new = list(dict.fromkeys(w for w in words if w not in self.of_word))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, found in zip(part, self.whole.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.of_word[word] = len(self.begin) - 1
-                self.flat.extend(found.ids)
-                self.begin.append(len(self.flat))
-        known = np.array([self.of_word[w] for w in words], np.int64)
+        raw, asked = c.data.tobytes(), np.append(first, alone)
+        words = [raw[a:b] for a, b in zip(c.starts[asked].tolist(), c.ends[asked].tolist(), strict=True)]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.of_word])
+        known = np.fromiter(map(self.of_word.__getitem__, words), np.int64, len(words))
         out = known[: len(first)][which]
         out[alone] = known[len(first) :]
         return out
