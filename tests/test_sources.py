@@ -19,7 +19,17 @@ def test_json_lines(spark, tmp_path):
     with pytest.raises(Exception, match="invalid_json"):
         readers.json_lines_strict(spark, str(tmp_path / "ano=2020")).select("line").collect()
     (tmp_path / "d.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
-    assert readers.json_documents(spark, str(tmp_path / "d.json")).count() == 2
+    assert readers.json_documents(spark, str(tmp_path / "d.json"))[0].count() == 2
+
+
+def test_json_documents_reject(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for name, content in (("a", '[{"k": 1}, 2, {"k": 3}]'), ("b", '{"k": 4}'), ("c", "{bad"), ("d", " \n"), ("e", json.dumps([{"k": "x" * 500}]))):
+        (folder / f"{name}.json").write_text(content)
+    good, bad = readers.json_documents(spark, str(folder), most_bytes=200)
+    assert sorted((r.file[-6:-5], r.ordinal) for r in good.select("file", "ordinal").collect()) == [("a", 1), ("a", 3), ("b", 1)]
+    assert sorted((r.file[-6:-5], r.ordinal, r.reason) for r in bad.collect()) == [("a", 2, "not_object"), ("c", None, "invalid_json"), ("e", None, "too_large")]
 
 
 def test_csv(spark, tmp_path):
@@ -28,6 +38,17 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in good.collect()] == [(1, "x")] and bad.count() == 2
 
 
+def test_csv_with_breaks_and_two_headers(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text('a,b\n1,x\n2,"l1\nl2"\n\na,b\n3\n')
+    (folder / "b.csv").write_text("b,extra, a\ny,?,7\n")
+    (folder / "c.csv").write_text("")
+    good, bad = readers.csv_records(spark, str(folder), T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())]))
+    assert sorted(map(tuple, good.collect()), key=str) == [(1, "x"), (2, "l1\nl2"), (3, None), (7, "y")]
+    assert [(r.line, r.reason) for r in bad.collect()] == [("a,b", "wrong_type")]
+
+
 def test_publish(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     path = str(tmp_path / "t")

@@ -33,7 +33,7 @@ def state(value) -> str:
     """null, empty (no characters, members or items) or filled."""
     if value is None:
         return "null"
-    return "empty" if value in ("", [], {}) or (isinstance(value, str) and not value.strip()) else "filled"
+    return "empty" if value in ("", [], {}) else "filled"
 
 
 def walk(value, path: str = "$") -> Iterator[tuple[str, object]]:

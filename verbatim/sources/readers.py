@@ -36,29 +36,67 @@ def json_lines_strict(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return good.unionByName(stop)
 
 
-def json_documents(spark: SparkSession, path: str | list[str], most_bytes: int = 64 << 20) -> DataFrame:
-    """file, ordinal, record of whole JSON files: the items of an array, or one object; larger files are left to json_lines."""
+def json_documents(spark: SparkSession, path: str | list[str], most_bytes: int = 64 << 20) -> tuple[DataFrame, DataFrame]:
+    """(records, rejections) of whole JSON files: file, ordinal (from 1) and record for each item of an array, or the one object.
+
+    Rejections: file and reason, too_large (above ``most_bytes``: read it by lines), invalid_json or
+    not_object (with the item's ordinal; null where the whole file is rejected). Blank files are neither.
+    """
+    sized = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
+    large = sized.filter(F.col("length") > most_bytes).select("file", F.lit(None).cast("long").alias("ordinal"), F.lit("too_large").alias("reason"))
     files = spark.read.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= most_bytes)
-    parsed = files.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("doc"))
+    parsed = files.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value")).filter(F.col("value").rlike(r"\S"))
+    parsed = parsed.select("file", F.expr("try_parse_json(value)").alias("doc"))
+    broken = parsed.filter("doc is null").select("file", F.lit(None).cast("long").alias("ordinal"), F.lit("invalid_json").alias("reason"))
     items = F.when(F.expr("schema_of_variant(doc)").startswith("ARRAY"), F.expr("try_variant_get(doc, '$', 'array<variant>')")).otherwise(F.array("doc"))
-    return parsed.select("file", F.posexplode(items).alias("n", "record")).select("file", (F.col("n") + 1).cast("long").alias("ordinal"), "record")
+    each = parsed.filter("doc is not null").select("file", F.posexplode(items).alias("n", "record")).select("file", (F.col("n") + 1).cast("long").alias("ordinal"), "record")
+    whole = F.coalesce(F.expr("schema_of_variant(record)").startswith("OBJECT"), F.lit(False))
+    other = each.filter(~whole).select("file", "ordinal", F.lit("not_object").alias("reason"))
+    return each.filter(whole), large.unionByName(broken).unionByName(other)
 
 
 def csv_records(spark: SparkSession, path: str | list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(records, rejections) of CSV with a header; rows of other widths or types are rejected, whole.
+    """(records, rejections) of CSV files with a header each; columns are found by the file's own header, in any order.
 
-    A record is a line: quoted line breaks aren't read. All files have the first one's header.
+    Quoted fields may hold line breaks; a column that a file lacks, and what a short row leaves out, is
+    null. A row that is too long, or whose value isn't of its column's type, is rejected whole (file,
+    line, reason). Header names are trimmed; blank lines and files without a header give nothing. A
+    file is one task's, as quoted line breaks ask for, and is held in its memory.
     """
-    bad = "_rejected"
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    header = lines.first()
-    if header is None:
-        return spark.createDataFrame([], schema), spark.createDataFrame([], "line string")
-    wide = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide)
-    parsed = F.from_csv("value", ddl, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
-    rows = lines.filter(F.col("value") != header[0]).select("value", parsed.alias("r"))
-    return rows.filter(F.col(f"r.{bad}").isNull()).select("r.*").drop(bad), rows.filter(F.col(f"r.{bad}").isNotNull()).select(F.col("value").alias("line"))
+    names = [f.name for f in schema]
+    plain = T.StructType([T.StructField("file", T.StringType()), T.StructField("values", T.MapType(T.StringType(), T.StringType())), T.StructField("line", T.StringType()), T.StructField("reason", T.StringType())])
+
+    def run(frames):
+        import csv
+        import io
+
+        import pandas as pd
+
+        for pdf in frames:
+            for file, content in zip(pdf["file"], pdf["content"], strict=True):
+                rows = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig", "replace"), newline=""))
+                header, found = None, []
+                for row in rows:
+                    if not any(x.strip() for x in row):
+                        continue
+                    if header is None:
+                        header = [x.strip() for x in row]
+                        continue
+                    out = io.StringIO()
+                    csv.writer(out, lineterminator="").writerow(row)
+                    found.append((file, {h: v for h, v in zip(header, row, strict=False) if h in names}, out.getvalue(), "too_long" if len(row) > len(header) else None))
+                yield pd.DataFrame(found, columns=["file", "values", "line", "reason"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    rows = files.mapInPandas(run, plain)
+    value = lambda n: F.nullif(F.col("values")[n], F.lit(""))
+    typed = rows.select("file", "line", "reason", *[value(f.name).try_cast(f.dataType).alias(f"_{i}") for i, f in enumerate(schema)], *[value(f.name).alias(f"_raw{i}") for i, f in enumerate(schema)])
+    wrong = F.lit(False)
+    for i in range(len(names)):
+        wrong = wrong | (F.col(f"_{i}").isNull() & F.col(f"_raw{i}").isNotNull())
+    why = F.coalesce("reason", F.when(wrong, "wrong_type"))
+    told = typed.withColumn("reason", why)
+    return told.filter("reason is null").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)]), told.filter("reason is not null").select("file", "line", "reason")
 
 
 def parquet_columns(spark: SparkSession, path: str | list[str], wanted: list[str], required: list[str] | None = None) -> DataFrame | None:
