@@ -53,18 +53,27 @@ def upper_gamma(s: float, x: float) -> float:
 
 
 def chi_square(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
-    """For each table: chi-square, degrees of freedom, p, Cramer's V and the least expected count; nulls for a table of one row or column."""
+    """For each table: chi-square, degrees of freedom, p, Cramer's V, the least expected count, n and fisher_p.
+
+    fisher_p is Fisher's exact two-sided p of a 2x2 table with an expected count below 5, else null;
+    chi2, p and cramers_v are null for a table of one row or column.
+    """
     cells = contingency(rows, a, b, *keys)
     frame = cells.groupBy(*keys) if keys else cells.groupBy()
-    stat = frame.agg(F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).alias("chi2"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"), F.min("expected").alias("least_expected"), F.max("total").alias("n"))
+    stat = frame.agg(F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).alias("chi2"), F.count_distinct(a).alias("r"), F.count_distinct(b).alias("c"), F.min("expected").alias("least_expected"), F.max("total").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("observed").cast("long").alias("observed")))).alias("cells"))
     df = (F.col("r") - 1) * (F.col("c") - 1)
 
     @F.pandas_udf("double")
     def p_value(x: pd.Series, k: pd.Series) -> pd.Series:
         return pd.Series([upper_gamma(d / 2, v / 2) if d > 0 else None for v, d in zip(x, k, strict=True)])
 
+    @F.pandas_udf("double")
+    def exact(counts: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fisher_exact(*(int(v) for v in x)) for x in counts], dtype="float64")
+
+    small = F.when((F.col("r") == 2) & (F.col("c") == 2) & (F.size("cells") == 4) & (F.col("least_expected") < 5), F.col("cells.observed"))
     v = F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1)))
-    return stat.select(*keys, F.when(df > 0, F.col("chi2")).alias("chi2"), df.alias("df"), p_value("chi2", df).alias("p"), F.when(df > 0, v).alias("cramers_v"), "least_expected", "n")
+    return stat.select(*keys, F.when(df > 0, F.col("chi2")).alias("chi2"), df.alias("df"), p_value("chi2", df).alias("p"), F.when(df > 0, v).alias("cramers_v"), "least_expected", "n", exact(small).alias("fisher_p"))
 
 
 def fisher_exact(a: int, b: int, c: int, d: int) -> float:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, keys, text
-from .operators import census, cluster, dedup, intervals, nested, panels, reconcile, sampling, search, segment, stats
+from .operators import census, cluster, dedup, intervals, nested, panels, reconcile, sampling, search, segment, snapshot, stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,21 +254,6 @@ def identifier_conflicts(spark, sf_dir):
     return census.conflicting_keys(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-@registered(
-    r"""
-    WITH d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(strip_accents(text)), '\p{L}[\p{L}\p{N}_]*')) w FROM documents WHERE n_chars BETWEEN 100 AND 1500),
-    s AS (SELECT *, count(*) OVER (PARTITION BY source, lang) n FROM d), k AS (SELECT * FROM s WHERE n <= 80)
-    SELECT * FROM (SELECT a.source, a.lang, a.doc_id AS left_key, b.doc_id AS right_key,
-      len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity
-      FROM k a JOIN k b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
-    WHERE similarity >= 0.3 AND similarity < 1
-    """
-)
-def near_duplicates_blocked(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("n_chars").between(100, 1500)).withColumn("words", text.word_set(F.col("text")))
-    return dedup.near_duplicates(docs, "doc_id", ["source", "lang"], "words", least=0.3)
-
-
 @registered(
     r"""
     WITH d AS (SELECT doc_id, source, lang, list_distinct(regexp_extract_all(lower(strip_accents(text)), '\p{L}[\p{L}\p{N}_]*')) w FROM documents)
@@ -300,34 +285,6 @@ def interval_from_events(spark, sf_dir):
     return _states(spark, sf_dir)
 
 
-@registered(
-    f"""
-    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events WHERE event_id % 7 = 0)
-    SELECT q.event_id, spans.event_type AS state, CAST(count(spans.event_type) AS BIGINT) AS n_candidates, CASE WHEN count(spans.event_type) = 0 THEN 'unmatched' ELSE 'matched' END AS status
-    FROM q LEFT JOIN spans ON q.user_id = spans.user_id AND q.d BETWEEN valid_from AND valid_to GROUP BY q.event_id, spans.event_type
-    """
-)
-def interval_join_inclusive(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").filter("event_id % 7 = 0").select("event_id", "user_id", F.to_date("ts").alias("d"))
-    joined = intervals.interval_join(asked, _states(spark, sf_dir), ["user_id"], "event_id", "d", "valid_from", "valid_to")
-    return joined.select("event_id", F.col("interval_event_type").alias("state"), "n_candidates", "status")
-
-
-@registered(
-    f"""
-    WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events WHERE event_id % 11 = 0), c AS (
-      SELECT q.event_id, s.event_type, s.valid_from, rank() OVER (PARTITION BY q.event_id ORDER BY (day(s.valid_from) % 3) + 1) r
-      FROM q JOIN spans s ON q.user_id = s.user_id AND q.d >= s.valid_from AND q.d < s.valid_from + 10)
-    SELECT event_id, event_type, CAST(valid_from AS DATE) AS valid_from FROM c WHERE r = 1
-    """
-)
-def interval_join_halfopen_ties(spark, sf_dir):
-    asked = table(spark, sf_dir, "events").filter("event_id % 11 = 0").select("event_id", "user_id", F.to_date("ts").alias("d"))
-    spans = _states(spark, sf_dir).select("user_id", "event_type", "valid_from", F.date_add("valid_from", 10).alias("valid_end"), (F.day("valid_from") % 3 + 1).alias("prio"))
-    best = intervals.best_candidates(asked, spans, ["user_id"], "event_id", "d", "valid_from", "valid_end", "prio")
-    return best.select("event_id", F.col("interval_event_type").alias("event_type"), F.col("interval_valid_from").alias("valid_from"))
-
-
 @registered(
     f"""
     WITH {_STATES}, q AS (SELECT event_id, user_id, CAST(ts AS DATE) d FROM events)
@@ -335,7 +292,7 @@ def interval_join_halfopen_ties(spark, sf_dir):
     FROM q LEFT JOIN spans ON q.user_id = spans.user_id AND q.d BETWEEN valid_from AND valid_to GROUP BY q.event_id, spans.event_type
     """
 )
-def interval_join_inclusive_all(spark, sf_dir):
+def interval_join_inclusive(spark, sf_dir):
     asked = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"))
     joined = intervals.interval_join(asked, _states(spark, sf_dir), ["user_id"], "event_id", "d", "valid_from", "valid_to")
     return joined.select("event_id", F.col("interval_event_type").alias("state"), "n_candidates", "status")
@@ -349,7 +306,7 @@ def interval_join_inclusive_all(spark, sf_dir):
     SELECT event_id, event_type, CAST(valid_from AS DATE) AS valid_from FROM c WHERE r = 1
     """
 )
-def interval_join_halfopen_ties_all(spark, sf_dir):
+def interval_join_halfopen_ties(spark, sf_dir):
     asked = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("d"))
     spans = _states(spark, sf_dir).select("user_id", "event_type", "valid_from", F.date_add("valid_from", 10).alias("valid_end"), (F.day("valid_from") % 3 + 1).alias("prio"))
     best = intervals.best_candidates(asked, spans, ["user_id"], "event_id", "d", "valid_from", "valid_end", "prio")
@@ -390,51 +347,13 @@ def layer_reconciliation(spark, sf_dir):
     return reconcile.layer_presence({"raw": table(spark, sf_dir, "documents"), "labelled": labels, "toxic": labels.filter("toxic = 1")}, "doc_id", ["source"])
 
 
-@registered(
-    """
-    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'missing' WHEN a.o_orderkey IS NULL THEN 'added' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'equal' END AS state
-    FROM (SELECT o_orderkey, o_orderstatus s FROM orders WHERE o_orderkey % 3 <> 0) a
-    FULL JOIN (SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'X' ELSE o_orderstatus END s FROM orders WHERE o_orderkey % 4 <> 0) b ON a.o_orderkey = b.o_orderkey
-    """
-)
-def baseline_changes(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    after = orders.withColumn("o_orderstatus", F.when(F.col("o_custkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")))
-    return reconcile.baseline_changes(orders.filter("o_orderkey % 3 <> 0"), after.filter("o_orderkey % 4 <> 0"), "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "state")
-
-
-@registered(
-    """
-    WITH a AS (SELECT o_custkey k, count(*) n, min(o_orderstatus) v FROM orders WHERE o_orderkey % 9 = 0 GROUP BY 1), b AS (SELECT o_custkey k, count(*) n, min(o_orderstatus) v FROM orders WHERE o_orderkey % 9 = 1 GROUP BY 1),
-    j AS (SELECT a.k ak, b.k bk, (coalesce(a.n, 0) > 1 OR coalesce(b.n, 0) > 1) m, a.v av, b.v bv FROM a FULL JOIN b ON a.k = b.k)
-    SELECT count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL) AS matched, count(*) FILTER (m) AS ambiguous, count(*) FILTER (NOT m AND bk IS NULL) AS only_left,
-      count(*) FILTER (NOT m AND ak IS NULL) AS only_right, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av = bv) AS equal, count(*) FILTER (NOT m AND ak IS NOT NULL AND bk IS NOT NULL AND av <> bv) AS different
-    FROM j
-    """
-)
-def linked_records(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return reconcile.linked_records(orders.filter("o_orderkey % 9 = 0"), orders.filter("o_orderkey % 9 = 1"), "o_custkey", "o_orderstatus")
-
-
-@registered(
-    """
-    SELECT c.c_custkey, CASE WHEN n = 1 THEN t END AS o_orderkey, coalesce(n, 0) AS n_targets, CASE WHEN n IS NULL THEN 'absent' WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS bridge_status
-    FROM customer c LEFT JOIN (SELECT o_custkey, count(*) n, min(o_orderkey) t FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1) o ON c.c_custkey = o.o_custkey
-    """
-)
-def unique_bridge(spark, sf_dir):
-    targets = table(spark, sf_dir, "orders").filter("o_orderkey % 13 = 0").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    return reconcile.unique_bridge(table(spark, sf_dir, "customer").select("c_custkey"), targets, "c_custkey", "o_orderkey").select("c_custkey", "o_orderkey", "n_targets", "bridge_status")
-
-
 @registered(
     """
     SELECT coalesce(a.k, b.k) AS o_orderkey, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'added' WHEN a.s IS DISTINCT FROM b.s THEN 'changed' ELSE 'equal' END AS state
     FROM (SELECT o_orderkey k, o_orderstatus s FROM orders) a FULL JOIN (SELECT l_orderkey k, max(l_linestatus) s FROM lineitem GROUP BY 1) b ON a.k = b.k
     """
 )
-def baseline_changes_all(spark, sf_dir):
+def baseline_changes(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("o_orderstatus"))
     return reconcile.baseline_changes(table(spark, sf_dir, "orders"), lines, "o_orderkey", ["o_orderstatus"]).select("o_orderkey", "state")
 
@@ -448,7 +367,7 @@ def baseline_changes_all(spark, sf_dir):
     FROM j
     """
 )
-def linked_records_all(spark, sf_dir):
+def linked_records(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linestatus").alias("o_orderstatus"))
     return reconcile.linked_records(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", "o_orderstatus")
 
@@ -459,7 +378,7 @@ def linked_records_all(spark, sf_dir):
     FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) n, min(l_partkey) t FROM lineitem GROUP BY 1) l ON o.o_orderkey = l.l_orderkey
     """
 )
-def unique_bridge_all(spark, sf_dir):
+def unique_bridge(spark, sf_dir):
     targets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return reconcile.unique_bridge(table(spark, sf_dir, "orders").select("o_orderkey"), targets, "o_orderkey", "l_partkey").select("o_orderkey", "l_partkey", "n_targets", "bridge_status")
 
@@ -689,3 +608,133 @@ def score_margin_bridge(spark, sf_dir):
     evidence = [(F.col("l_returnflag") == "R", 6), (F.col("l_quantity") > 25, 3), (F.col("l_discount") > 0.05, 1)]
     out = intervals.score_bridge(table(spark, sf_dir, "orders").select("o_orderkey"), lines, "o_orderkey", "l_linenumber", ["o_orderkey"], evidence)
     return out.select("o_orderkey", "l_linenumber", "score", "bridge_status")
+
+
+# --- snapshots, control blocks, catalogs
+
+
+@registered("SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, CAST(year(o_orderdate) AS INTEGER) AS year, upper(o_orderstatus) AS status FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-02-01' AND DATE '1996-11-30'")
+def snapshot_select(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    columns = {"id": F.col("o_orderkey"), "day": F.col("day"), "year": F.year("day"), "status": F.upper("o_orderstatus")}
+    return snapshot.snapshot_select(orders, "day", "1994-02-01", "1996-11-30", "id", columns)
+
+
+@registered(
+    """
+    SELECT o_orderkey, CASE WHEN d IS NULL THEN 'invalid_date' WHEN d < DATE '1994-02-01' THEN 'before_window' ELSE 'after_window' END AS reason
+    FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS d FROM orders) WHERE d IS NULL OR d NOT BETWEEN DATE '1994-02-01' AND DATE '1996-11-30'
+    """
+)
+def exclusion_select(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("day", F.when(F.col("o_orderstatus") != "P", F.to_date("o_orderdate")))
+    return snapshot.exclusion_select(orders, "day", "1994-02-01", "1996-11-30", ["o_orderkey"])
+
+
+@registered(
+    """
+    SELECT o_orderkey, o_totalprice >= 1000 AS words_1000, o_totalprice >= 100000 AS words_100000, trim(o_orderpriority) <> '' AS has_summary, year(o_orderdate) BETWEEN 1993 AND 1996 AS in_years,
+      CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' AS in_year_to_date FROM orders
+    """
+)
+def eligibility_flags(spark, sf_dir):
+    flags = snapshot.eligibility_flags(table(spark, sf_dir, "orders"), F.col("o_totalprice"), F.col("o_orderpriority"), F.to_date("o_orderdate"), {"words_1000": 1000, "words_100000": 100000}, (1993, 1996), "1996-06-30")
+    return flags.select("o_orderkey", "words_1000", "words_100000", "has_summary", "in_years", "in_year_to_date")
+
+
+@registered("SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS total, median(n_chars) AS median FROM documents GROUP BY ALL")
+def speaker_summary(spark, sf_dir):
+    return snapshot.speaker_summary(table(spark, sf_dir, "documents"), ["lang", "party", "source"], "n_chars")
+
+
+@registered(
+    """
+    WITH e AS (SELECT ts::DATE AS d, CASE WHEN event_type <> 'view' THEN user_id END AS k, props AS t FROM events)
+    SELECT CAST(year(d) AS INTEGER) AS year, count(*) AS n_rows, count(DISTINCT k) AS unique_ids, CAST(count(k) - count(DISTINCT k) AS BIGINT) AS duplicate_ids, count(*) FILTER (k IS NULL) AS missing_ids,
+      count(*) FILTER (regexp_matches(t, '[^\x00-\x7F]')) AS diacritic_rows, count(*) FILTER (contains(t, chr(65533))) AS replacement_rows, min(d) AS first_day, max(d) AS last_day FROM e GROUP BY 1
+    """
+)
+def control_block(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("k", F.when(F.col("event_type") != "view", F.col("user_id")))
+    return snapshot.control_block(events, "k", "props", F.to_date("ts"))
+
+
+@registered(
+    """
+    WITH t AS (SELECT doc_id, CASE WHEN doc_id < 50 THEN source ELSE CAST(doc_id AS VARCHAR) END AS id FROM documents)
+    SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(id, '[0-9]+') THEN CAST(id AS DECIMAL(38,0)) END NULLS LAST, id, doc_id) AS place FROM t
+    """
+)
+def numeric_id_order(spark, sf_dir):
+    """One window over the table, as an order of all identifiers is what is asked."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") < 50, F.col("source")).otherwise(F.col("doc_id").cast("string")).alias("id"))
+    return docs.select("doc_id", F.row_number().over(Window.orderBy(*snapshot.numeric_first(F.col("id")), "doc_id")).cast("long").alias("place"))
+
+
+@registered(
+    """
+    SELECT source, doc_id, CAST(r AS INTEGER) AS rank FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars > 500 DESC, lang = 'en' DESC, sha256('7:' || doc_id), doc_id) r FROM documents) WHERE r <= 5
+    """
+)
+def eligible_first(spark, sf_dir):
+    return snapshot.eligible_first(table(spark, sf_dir, "documents"), "source", F.col("n_chars") > 500, F.col("lang") == "en", "doc_id", "7", 5).select("source", "doc_id", "rank")
+
+
+@registered("SELECT source, n_chars, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) = 1")
+def smallest_per_category(spark, sf_dir):
+    return snapshot.smallest_per_category(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
+
+
+@registered("SELECT lang, source, count(*) AS items, CAST(sum(n_chars) AS BIGINT) AS bytes, true AS reconciled FROM documents GROUP BY ALL")
+def universe_groups(spark, sf_dir):
+    return snapshot.universe_groups(table(spark, sf_dir, "documents"), ["lang", "source"], "n_chars")
+
+
+@registered("SELECT lower(source) AS name, n_chars AS size, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY CAST(doc_id AS VARCHAR)) AS paths FROM documents GROUP BY ALL HAVING count(*) > 1")
+def potential_duplicates(spark, sf_dir):
+    return snapshot.potential_duplicates(table(spark, sf_dir, "documents"), F.col("source"), "n_chars", "doc_id")
+
+
+@registered("SELECT event_id, coalesce(abs(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) <= 300000000, false) AS near FROM events")
+def near_in_time(spark, sf_dir):
+    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(snapshot.near_in_time(F.col("ts"), before), F.lit(False)).alias("near"))
+
+
+@registered(
+    """
+    SELECT conv_id, turn, 'T' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS VARCHAR), 6, '0') AS number,
+      CAST(row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS INTEGER) AS order_in_role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS INTEGER) AS order_overall FROM conversations
+    """
+)
+def turn_numbers(spark, sf_dir):
+    order = [F.col("turn"), F.col("role"), F.col("text")]
+    rows = snapshot.role_orders(snapshot.numbered(table(spark, sf_dir, "conversations"), "conv_id", order, "T", 6), "conv_id", "role", order)
+    return rows.select("conv_id", "turn", "number", "order_in_role", "order_overall")
+
+
+@registered(
+    """
+    SELECT page_id, nullif(regexp_extract(url, '([0-9]+)/?$', 1), '') AS trailing_id FROM pages
+    """
+)
+def page_ids(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", snapshot.trailing_id(F.col("url")).alias("trailing_id"))
+
+
+@registered(
+    """
+    SELECT o_orderkey, CAST(o_orderdate AS DATE) - 1 AS day_before, CAST(o_orderdate AS DATE) + 1 AS day_after, CASE o_orderstatus WHEN 'F' THEN false END AS truth, o_orderstatus <> 'F' AS invalid,
+      CAST(o_custkey AS BIGINT) * 1024 AS bytes, coalesce(nullif(trim(CASE WHEN o_orderstatus = 'O' THEN ' ' ELSE CAST(o_custkey AS VARCHAR) END), ''), lower(o_orderpriority)) AS speaker,
+      o_orderstatus IN ('O', 'P') AND trim(o_orderpriority) <> '' AS segmentable FROM orders
+    """
+)
+def order_scalars(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    value, invalid = snapshot.truth(F.col("o_orderstatus"))
+    person = F.when(F.col("o_orderstatus") == "O", " ").otherwise(F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", snapshot.day_before(day).alias("day_before"), snapshot.day_after(day).alias("day_after"), value.alias("truth"), invalid.alias("invalid"),
+        snapshot.byte_size(F.concat(F.col("o_custkey").cast("string"), F.lit(" KiB"))).alias("bytes"), snapshot.speaker_key(person, F.col("o_orderpriority")).alias("speaker"),
+        snapshot.segmentable(F.col("o_orderstatus"), F.col("o_orderpriority"), ["O", "P"]).alias("segmentable"),
+    )
