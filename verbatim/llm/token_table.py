@@ -45,7 +45,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text in one shard; small tables are cut finer, to give all cores work.
 SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 
 def key_bytes(doc_id: int | None) -> bytes:
