@@ -133,6 +133,25 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     assert own.encode(c)[0].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("words", [["0", "\u00a0", "a", "b\u00a0c"], ["a", "\u3000", "x\u2028", "é"], ["Éa", "I\u0307", "ßé", "中'S", "e\u0301"], ["<|endoftext|>", "x"]])
+def test_tokens_are_dealt_to_their_words(words):
+    own = token_table.TextEncoder(token_table.vocabulary_path())
+    own._learn([w.encode() for w in words])
+    dealt = [list(own.flat[a:b]) for a, b in zip(own.begin[:-1], own.begin[1:], strict=True)]
+    assert dealt == [own.whole.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_long_words_of_one_hash_are_told_apart():
+    import pyarrow as pa
+
+    from verbatim.llm.textkit import chunks
+
+    words = ["a" * 8, "a" * 7 + "b", "a" * 9, "a" * 64, "a" * 100, "a" * 99 + "b", "a" * 100, "a" * 8]
+    (c,) = chunks(pa.array([" ".join(words)]))
+    for first in range(len(words)):
+        assert token_table.unlike(c, np.full(len(words), first)).tolist() == [w != words[first] for w in words]
+
+
 def test_other_tokenizers_get_whole_texts():
     from tokenizers import Tokenizer, models, pre_tokenizers
 

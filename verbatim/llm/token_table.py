@@ -25,6 +25,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
+from operator import itemgetter
 from urllib.parse import urlparse
 
 import numpy as np
@@ -46,6 +48,10 @@ VOCABULARY = "word_bpe_49k.json"
 SHARD_BYTES = 256 << 20
 #: Words whose ids a worker remembers before it forgets them all.
 REMEMBERED = 1_500_000
+#: Bytes of a word that are compared as integers.
+LANES = 64
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -228,6 +234,43 @@ def joins_nothing(tokenizer) -> bool:
     return apart and told.get("post_processor") is None and told.get("truncation") is None
 
 
+def token_sizes(tokenizer) -> np.ndarray:
+    """Bytes that each token stands for, where the tokenizer writes a byte as a character, by its own description; else 0.
+
+    Added tokens stand for nothing here: a text that holds one is told apart by its characters.
+    """
+    told = json.loads(tokenizer.to_str())
+    vocabulary = told["model"].get("vocab", {})
+    size = np.zeros(max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0) + 1, np.int64)
+    last = told["pre_tokenizer"] or {}
+    last = last.get("pretokenizers", [last])[-1]
+    if last.get("type") == "ByteLevel" and isinstance(vocabulary, dict):
+        suffix = told["model"].get("end_of_word_suffix") or ""
+        for token, number in vocabulary.items():
+            size[number] = len(token.removesuffix(suffix))
+        for token in told.get("added_tokens", ()):
+            size[token["id"]] = 0
+    return size
+
+
+def unlike(c: Chunk, other: np.ndarray) -> np.ndarray:
+    """Whether each word of the chunk differs in any byte from its word number ``other``."""
+    n, like = c.ends - c.starts, c.starts[other]
+    differs = n != n[other]
+    # Eight bytes at a time, those behind a word's end masked; the few long words as byte strings.
+    padded = np.append(c.data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(c.data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero(~differs & (like != c.starts))
+    for at in range(0, LANES, 8):
+        a, b = eight[c.starts[left] + at], eight[like[left] + at]
+        differs[left[(a ^ b) & _FIRST[np.minimum(n[left] - at, 8)] != 0]] = True
+        left = left[n[left] > at + 8]
+    for i in left[~differs[left]].tolist():
+        size = int(n[i])
+        differs[i] = c.data[c.starts[i] : c.starts[i] + size].tobytes() != c.data[like[i] : like[i] + size].tobytes()
+    return differs
+
+
 class TextEncoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -241,44 +284,68 @@ class TextEncoder:
 
         self.whole = Tokenizer.from_file(path)
         self.by_word = joins_nothing(self.whole)
+        self.size = token_sizes(self.whole)
         self.forget()
 
     def forget(self) -> None:
         self.of_word: dict[bytes, int] = {}
         self.flat, self.begin = array("I"), array("q", [0])
 
+    def _counts_by_bytes(self, text: str, ids: np.ndarray, n_words: int) -> np.ndarray | None:
+        """Tokens of each word, from the bytes that tokens stand for; None unless every word ends where a token ends.
+
+        Words that hold further kinds of white space, which a tokenizer may take for blanks, have no such counts.
+        """
+        if " ".join(text.split()) != text:
+            return None
+        normal = self.whole.normalizer.normalize_str(text) if self.whole.normalizer else text
+        data = np.frombuffer(normal.encode(), np.uint8)
+        blanks = np.append(np.flatnonzero(data == 0x20), len(data))
+        if len(blanks) != n_words or not len(ids):
+            return None
+        upto, size = blanks - np.arange(n_words), self.size[ids]
+        ends = np.cumsum(size)
+        last = np.searchsorted(ends, upto)
+        if size.min() < 1 or ends[-1] != upto[-1] or (ends[last] != upto).any():
+            return None
+        return np.diff(last, prepend=-1)
+
     def _learn(self, words: list[bytes]) -> None:
-        """Remember the ids of new words: the library encodes them as one text, and a token is of the word that its first character is in."""
+        """Remember the ids of new, different words: the library encodes them as one text.
+
+        Its tokens are dealt to words by the bytes they stand for, or else by the character they begin with.
+        """
         if not words:
             return
-        plain = [w.decode() for w in words]
-        found = self.whole.encode(" ".join(plain), add_special_tokens=False)
-        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
-        first = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-        count = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(words))
+        text = b" ".join(words).decode()
+        found = self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        count = self._counts_by_bytes(text, np.array(found, np.int64), len(words))
+        if count is None:
+            whole = self.whole.encode(text, add_special_tokens=False)
+            ends = np.cumsum(np.fromiter((len(w.decode()) for w in words), np.int64, len(words)) + 1)
+            first = np.fromiter(map(itemgetter(0), whole.offsets), np.int64, len(found))
+            count = np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(words))
         known = len(self.begin) - 1
         self.of_word.update(zip(words, range(known, known + len(words)), strict=True))
-        self.begin.extend((len(self.flat) + np.cumsum(count)).tolist())
-        self.flat.extend(found.ids)
+        self.begin.frombytes((len(self.flat) + np.cumsum(count)).astype(np.int64).tobytes())
+        self.flat.extend(found)
 
     def _places(self, c: Chunk) -> np.ndarray:
         """The place of each word of the chunk among the remembered ones."""
-        hashes = word_hashes(c)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, first, which = np.unique(word_hashes(c), return_index=True, return_inverse=True)
         # Words of one hash are compared byte by byte with its first one; one that differs stands for itself.
-        n, like = c.ends - c.starts, c.starts[first][which]
-        differs = n != n[first][which]
-        size = np.where(differs, 0, n)
-        upto = np.cumsum(size)
-        inside = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - size, size)
-        unequal = c.data[np.repeat(c.starts, size) + inside] != c.data[np.repeat(like, size) + inside]
-        if unequal.any():
-            differs[np.repeat(np.arange(len(n)), size)[unequal]] = True
-        alone = np.flatnonzero(differs)
+        alone = np.flatnonzero(unlike(c, first[which]))
         raw, asked = c.data.tobytes(), np.append(first, alone)
         words = [raw[a:b] for a, b in zip(c.starts[asked].tolist(), c.ends[asked].tolist(), strict=True)]
-        self._learn([w for w in dict.fromkeys(words) if w not in self.of_word])
-        known = np.fromiter(map(self.of_word.__getitem__, words), np.int64, len(words))
+        known = np.fromiter(map(self.of_word.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[i] for i in np.flatnonzero(known < 0).tolist()]
+        if len(alone):
+            new = list(dict.fromkeys(new))
+        self._learn(new)
+        if len(alone):
+            known = np.fromiter(map(self.of_word.__getitem__, words), np.int64, len(words))
+        else:
+            known[known < 0] = np.arange(len(self.begin) - 1 - len(new), len(self.begin) - 1)
         out = known[: len(first)][which]
         out[alone] = known[len(first) :]
         return out
