@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, keys, text
-from .operators import census, cluster, dedup, intervals, nested, panels, reconcile, sampling, search, segment, snapshot, stats
+from .operators import census, cluster, dedup, evidence, intervals, nested, panels, reconcile, sampling, search, segment, snapshot, stats
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -738,3 +738,244 @@ def order_scalars(spark, sf_dir):
         snapshot.byte_size(F.concat(F.col("o_custkey").cast("string"), F.lit(" KiB"))).alias("bytes"), snapshot.speaker_key(person, F.col("o_orderpriority")).alias("speaker"),
         snapshot.segmentable(F.col("o_orderstatus"), F.col("o_orderpriority"), ["O", "P"]).alias("segmentable"),
     )
+
+
+@registered(
+    """
+    WITH p(l_returnflag, i, c, o, d) AS (VALUES ('A', 2.0, 0.5, 8.0, 0.5), ('N', 1.25, NULL, 10.0, 0.0), ('R', 0.25, 0.025, 2.0, 0.25)),
+    u AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_partkey AS DOUBLE) a, CAST(l_suppkey AS DOUBLE) c0, CAST(l_quantity AS BIGINT)::DOUBLE b FROM lineitem)
+    SELECT l_orderkey, l_linenumber, round((greatest(a - c0, 0) * i + c0 * coalesce(c, i) + b * o) / 1e6 * (1 - d), 12) AS cost FROM u JOIN p USING (l_returnflag)
+    """
+)
+def usage_cost(spark, sf_dir):
+    prices = spark.createDataFrame([("A", 2.0, 0.5, 8.0, 0.5), ("N", 1.25, None, 10.0, 0.0), ("R", 0.25, 0.025, 2.0, 0.25)], "l_returnflag string, input_price double, cached_price double, output_price double, discount double")
+    usage = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").alias("input"), F.col("l_suppkey").alias("cached"), F.col("l_quantity").cast("long").alias("output"))
+    return evidence.usage_cost(usage, prices, "l_returnflag").select("l_orderkey", "l_linenumber", F.round("cost", 12).alias("cost"))
+
+
+_LABELLED = "a AS (SELECT doc_id AS id, lang FROM documents WHERE n_chars > 300), b AS (SELECT doc_id AS id, CASE WHEN n_chars > 600 THEN lang ELSE source END AS lang FROM documents WHERE n_chars < 1500)"
+
+
+@registered(
+    f"""
+    WITH {_LABELLED} SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'surprise' WHEN b.id IS NULL THEN 'missing' WHEN a.lang IS NOT DISTINCT FROM b.lang THEN 'equal' ELSE 'different' END AS status
+    FROM a FULL JOIN b ON a.id = b.id
+    """
+)
+def verified_destination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
+    observed = docs.filter("n_chars < 1500").withColumn("lang", F.when(F.col("n_chars") > 600, F.col("lang")).otherwise(F.col("source")))
+    return evidence.verified_destination(docs.filter("n_chars > 300"), observed, "id", ["lang"])
+
+
+@registered(
+    """
+    WITH e AS (SELECT c_custkey AS k FROM customer), r AS (SELECT o_custkey AS k, count(*) n, bool_and(o_orderstatus IN ('F', 'O')) ok FROM orders WHERE o_totalprice > 250000 GROUP BY 1)
+    SELECT coalesce(e.k, r.k) AS k, CASE WHEN e.k IS NULL THEN 'unexpected' WHEN r.k IS NULL THEN 'absent' WHEN n > 1 THEN 'repeated' WHEN ok THEN 'ok' ELSE 'rejected' END AS status FROM e FULL JOIN r ON e.k = r.k
+    """
+)
+def marker_status(spark, sf_dir):
+    expected = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    reported = table(spark, sf_dir, "orders").filter("o_totalprice > 250000").withColumnRenamed("o_custkey", "k")
+    return evidence.marker_status(expected, reported, "k", "o_orderstatus", ["F", "O"])
+
+
+@registered(
+    """
+    WITH r AS (SELECT url AS source, regexp_replace(url, '[0-9]+$', '') || CAST(page_id % 97 AS VARCHAR) AS destination FROM pages),
+    s AS (SELECT source, count(*) AS n FROM r GROUP BY 1), t AS (SELECT destination, count(DISTINCT source) AS n FROM r GROUP BY 1)
+    SELECT r.source, r.destination, CASE WHEN r.source IS NULL THEN 'excluded' WHEN s.n > 1 THEN 'source_collision' WHEN t.n > 1 THEN 'destination_collision' ELSE 'copy' END AS action
+    FROM r LEFT JOIN s USING (source) LEFT JOIN t USING (destination)
+    """
+)
+def copy_plan(spark, sf_dir):
+    destination = F.concat(F.regexp_replace("url", "[0-9]+$", ""), (F.col("page_id") % 97).cast("string"))
+    return evidence.copy_plan(table(spark, sf_dir, "pages"), "url", destination, [])
+
+
+@registered("SELECT page_id, CASE WHEN list_contains(string_split(lower(coalesce(url, '')), '/'), 'raw') OR page_id % 5 = 0 THEN 'preserve' ELSE 'archive_candidate' END AS action FROM pages")
+def archive_actions(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", evidence.archive_action(F.col("url"), F.when(F.col("page_id") % 5 == 0, " RAW ")).alias("action"))
+
+
+@registered(
+    """
+    WITH m AS (SELECT CAST(unnest(generate_series(DATE '1994-03-01', DATE '1996-02-10', INTERVAL 1 MONTH)) AS DATE) AS mo), l AS (SELECT unnest(['F', 'O', 'X']) AS layer), g AS (SELECT DISTINCT o_orderpriority FROM orders),
+    s AS (SELECT o_orderpriority, o_orderstatus, date_trunc('month', CAST(o_orderdate AS DATE)) AS mo, count(*) n FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-03-05' AND DATE '1996-02-10' GROUP BY ALL)
+    SELECT g.o_orderpriority, CAST(year(m.mo) AS INT) AS year, CAST(month(m.mo) AS INT) AS month, l.layer, coalesce(n, 0) AS n_rows FROM g CROSS JOIN m CROSS JOIN l
+    LEFT JOIN s ON s.o_orderpriority = g.o_orderpriority AND s.mo = m.mo AND s.o_orderstatus = l.layer
+    """
+)
+def layer_months(spark, sf_dir):
+    return evidence.layer_months(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", F.to_date("o_orderdate"), "1994-03-05", "1996-02-10", ["F", "O", "X"])
+
+
+@registered(
+    """
+    WITH u AS (SELECT event_type, user_id, count(*) n, bool_or(value > 50) t, bool_or(contains(props, '1')) m FROM events GROUP BY ALL)
+    SELECT event_type, CAST(sum(n) AS BIGINT) AS occurrences, count(*) AS units, count(*) FILTER (t) AS with_text, count(*) FILTER (m) AS with_media, count(*) FILTER (t OR m) AS covered,
+      count(*) FILTER (t) / count(*) AS text_rate, count(*) FILTER (m) / count(*) AS media_rate FROM u GROUP BY 1
+    """
+)
+def media_coverage(spark, sf_dir):
+    return evidence.media_coverage(table(spark, sf_dir, "events"), "event_type", "user_id", F.col("value") > 50, F.contains("props", F.lit("1")))
+
+
+@registered(
+    """
+    WITH c AS (SELECT o_orderpriority, year(o_orderdate) AS year, count(*) AS n, CAST(sum((o_orderstatus = 'F')::INT) AS BIGINT) AS present, avg((o_orderstatus = 'F')::INT) AS share FROM orders GROUP BY ALL)
+    SELECT o_orderpriority, CAST(year AS INT) AS year, n, present, round(share, 9) AS share, round(median(share) OVER (PARTITION BY o_orderpriority), 9) AS usual,
+      round(share - median(share) OVER (PARTITION BY o_orderpriority), 9) AS from_usual FROM c
+    """
+)
+def prevalence_from_median(spark, sf_dir):
+    out = evidence.prevalence_from_median(table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate")), ["o_orderpriority"], "year", F.col("o_orderstatus") == "F")
+    return out.withColumns({c: F.round(c, 9) for c in ("share", "usual", "from_usual")})
+
+
+@registered(
+    """
+    WITH a AS (SELECT lang, source, CAST(doc_id % 7 - 1 AS BIGINT) AS topic FROM documents), c AS (SELECT lang, source, topic, count(*) n FROM a GROUP BY ALL)
+    SELECT lang, source, topic, n, round(n / sum(n) OVER (PARTITION BY lang, source), 9) AS share, topic = -1 AS outlier FROM c
+    """
+)
+def topic_prevalence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("topic", F.col("doc_id") % 7 - 1)
+    return evidence.topic_prevalence(docs, ["lang", "source"], "topic").withColumn("share", F.round("share", 9))
+
+
+@registered(
+    """
+    SELECT lang, source, count(*) AS "rows", count(*) FILTER (trim(text) <> '') AS summaries, count(*) FILTER (n_chars > 400) AS sampled, count(*) FILTER (n_chars > 400 AND n_chars % 7 = 0) AS outliers,
+      count(*) FILTER (trim(text) <> '') / count(*) AS summary_coverage, count(*) FILTER (n_chars > 400 AND n_chars % 7 = 0) / nullif(count(*) FILTER (n_chars > 400), 0) AS outlier_rate FROM documents GROUP BY ALL
+    """
+)
+def topic_coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    sample = docs.filter("n_chars > 400")
+    out = evidence.topic_coverage(docs, sample, sample.withColumn("topic", F.col("n_chars") % 7 - 1), ["lang", "source"], "text", "topic")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("rows", "summaries", "sampled", "outliers")})
+
+
+@registered(
+    """
+    WITH b AS (SELECT o_orderkey, o_custkey AS target, CASE WHEN o_orderstatus = 'F' THEN 'matched' WHEN o_orderstatus = 'O' THEN 'probable' ELSE 'none' END AS status FROM orders),
+    g AS (SELECT l_orderkey AS o_orderkey, min(l_suppkey) AS gold FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1),
+    q AS (SELECT count(*) AS n, count(*) FILTER (status <> 'none') AS linked, count(*) FILTER (status <> 'none') / count(*) AS coverage, count(gold) AS n_gold,
+      count(*) FILTER (status <> 'none' AND target = gold) / nullif(count(*) FILTER (status <> 'none' AND gold IS NOT NULL), 0) AS precision FROM b LEFT JOIN g USING (o_orderkey))
+    SELECT n, linked, coverage, n_gold, precision, coalesce(precision >= 0.95 AND coverage >= 0.8, false) AS authorized FROM q
+    """
+)
+def bridge_quality(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "O", "probable").otherwise("none")
+    bridge = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("target"), status.alias("status"))
+    gold = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'A'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("target"))
+    return evidence.authorized(evidence.bridge_quality(bridge, gold, "o_orderkey", "target", "status"))
+
+
+@registered(
+    """
+    WITH r AS (SELECT o_orderpriority AS c, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS v, o_totalprice > 200000 AS done FROM orders),
+    k AS (SELECT count(*) FILTER (ok) AS approved FROM (SELECT c, bool_and(coalesce(v, false)) ok FROM r WHERE done AND c IN ('1-URGENT', '2-HIGH') GROUP BY c))
+    SELECT count(*) FILTER (done) AS reviewed, count(*) FILTER (done AND v IS NULL) AS invalid, count(*) FILTER (done AND v) / nullif(count(*) FILTER (done AND v IS NOT NULL), 0) AS precision, any_value(approved) AS approved_cases,
+      coalesce(count(*) FILTER (done) >= 100 AND count(*) FILTER (done AND v IS NULL) = 0 AND count(*) FILTER (done AND v) >= 0.9 * count(*) FILTER (done AND v IS NOT NULL) AND any_value(approved) = 2, false) AS opens FROM r CROSS JOIN k
+    """
+)
+def review_gates(spark, sf_dir):
+    verdict = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    return evidence.review_gates(table(spark, sf_dir, "orders"), verdict, F.col("o_totalprice") > 200000, "o_orderpriority", ["1-URGENT", "2-HIGH"], 100, 0.9)
+
+
+@registered(
+    """
+    SELECT l_orderkey, count(*) FILTER (l_linestatus = 'F' AND l_discount > 0.05) AS accepted_F, count(*) FILTER (l_linestatus = 'F' AND NOT l_discount > 0.05) AS incorrect_F, CAST(coalesce(sum(l_partkey) FILTER (l_linestatus = 'F'), 0) AS BIGINT) AS tokens_F,
+      count(*) FILTER (l_linestatus = 'O' AND l_discount > 0.05) AS accepted_O, count(*) FILTER (l_linestatus = 'O' AND NOT l_discount > 0.05) AS incorrect_O, CAST(coalesce(sum(l_partkey) FILTER (l_linestatus = 'O'), 0) AS BIGINT) AS tokens_O
+    FROM lineitem GROUP BY 1
+    """
+)
+def compare_conditions(spark, sf_dir):
+    return evidence.compare_conditions(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linestatus", "F", "O", F.col("l_discount") > 0.05, "l_partkey")
+
+
+@registered("SELECT doc_id, sha256('s|' || doc_id) AS selection_key, CAST(row_number() OVER (PARTITION BY source, lang ORDER BY sha256('s|' || doc_id), doc_id) AS INT) AS rank FROM documents")
+def ranked_candidates(spark, sf_dir):
+    return evidence.ranked_candidates(table(spark, sf_dir, "documents"), ["source", "lang"], "s", "doc_id").select("doc_id", "selection_key", "rank")
+
+
+@registered(
+    """
+    WITH d AS (SELECT source, doc_id, n_chars > 1200 AS c, count(*) OVER (PARTITION BY source, n_chars > 1200) AS n, row_number() OVER (PARTITION BY source, n_chars > 1200 ORDER BY doc_id) - 1 AS i FROM documents),
+    z AS (SELECT source, count(*) FILTER (c) AS cs, count(*) FILTER (NOT c) AS os FROM d GROUP BY 1),
+    q AS (SELECT d.*, CASE WHEN c THEN least(cs, 9 - least(os, 9 - least(cs, 5))) ELSE least(os, 9 - least(cs, 5)) END AS k FROM d JOIN z USING (source))
+    SELECT source, doc_id, c AS conflict FROM q WHERE (i + 1) * k // n > i * k // n
+    """
+)
+def conflicts_first(spark, sf_dir):
+    return evidence.conflicts_first(table(spark, sf_dir, "documents"), "source", F.col("n_chars") > 1200, ["doc_id"], 9).select("source", "doc_id", "conflict")
+
+
+@registered("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def last_unknown(spark, sf_dir):
+    return evidence.last_unknown(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus"), ["", "o"], [F.col("o_orderdate"), F.col("o_orderkey")], ["o_orderkey", "o_orderpriority"])
+
+
+@registered("SELECT o_orderpriority, o_custkey, array_to_string(list_sort(list_distinct(list(year(o_orderdate)))), ',') AS years, CAST(0 AS BIGINT) AS undated FROM orders GROUP BY ALL")
+def code_years(spark, sf_dir):
+    out = evidence.code_years(table(spark, sf_dir, "orders"), "o_orderpriority", "o_custkey", F.lit(None).cast("date"), F.to_date("o_orderdate"))
+    return out.withColumn("years", F.array_join(F.transform("years", lambda y: y.cast("string")), ","))
+
+
+@registered("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer UNION SELECT CAST(o_custkey AS VARCHAR) FROM orders UNION SELECT CAST(user_id AS VARCHAR) FROM events")
+def known_ids(spark, sf_dir):
+    return evidence.known_ids(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select("o_custkey"), table(spark, sf_dir, "events").select("user_id"))
+
+
+@registered("SELECT o_orderkey, o_orderstatus || '|' || o_orderpriority || '|' || o_orderkey AS identity, year(o_orderdate) = 1995 AS in_stratum FROM orders")
+def identity_checked(spark, sf_dir):
+    return evidence.identity_checked(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority", "o_orderkey"], F.col("o_orderdate"), 1995).select("o_orderkey", "identity", "in_stratum")
+
+
+@registered(
+    """
+    WITH c AS (SELECT lang, count(*) a, count(*) FILTER (n_chars > 200) b, count(*) FILTER (n_chars > 900) c FROM documents GROUP BY 1)
+    SELECT lang, CAST(0 AS INT) AS number, 'all' AS stage, a AS n_rows, CAST(0 AS BIGINT) AS lost FROM c UNION ALL SELECT lang, 1, 'some', b, a - b FROM c UNION ALL SELECT lang, 2, 'long', c, b - c FROM c
+    """
+)
+def stage_counts(spark, sf_dir):
+    counts = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n_chars") > 200).alias("some"), F.count_if(F.col("n_chars") > 900).alias("long"))
+    return evidence.stage_counts(counts, "lang", ["all", "some", "long"])
+
+
+@registered(
+    """
+    SELECT * FROM (SELECT 'repeated' AS metric, count(*) - count(DISTINCT text) AS n, 'warning' AS severity FROM documents UNION ALL SELECT 'empty', count(*) FILTER (trim(text) = ''), 'error' FROM documents
+      UNION ALL SELECT 'long', count(*) FILTER (n_chars > 1000), 'note' FROM documents) WHERE n > 0
+    """
+)
+def summary_issues(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").groupBy("text").agg((F.count(F.lit(1)) - 1).alias("r"), F.count_if(F.trim("text") == "").alias("e"), F.count_if(F.col("n_chars") > 1000).alias("l"))
+    return evidence.issues(texts.agg(F.sum("r").alias("repeated"), F.sum("e").alias("empty"), F.sum("l").alias("long")), {"repeated": "warning", "empty": "error", "long": "note"})
+
+
+@registered(
+    r"""
+    WITH t AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '[\s\x0B\x{0085}\p{Z}]+', ' ', 'g')) AS f FROM documents)
+    SELECT doc_id, CASE WHEN length(f) > 500 THEN substr(f, 1, 497) || '...' ELSE f END AS preview, CASE WHEN lang = 'en' THEN source ELSE '__list__' END AS declared, lang || '||' || doc_id AS composite FROM t
+    """
+)
+def record_scalars(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "object").otherwise("list")
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.preview(F.col("text")).alias("preview"), evidence.declared_type(kind, F.col("source")).alias("declared"), evidence.composite_key(F.col("lang"), F.lit(None).cast("string"), F.col("doc_id")).alias("composite"))
+
+
+@registered(
+    """
+    WITH l AS (SELECT n, make_date(2011 + (n - 54) * 4, 2, 1) AS a, make_date(2015 + (n - 54) * 4, 1, 31) AS b FROM (SELECT unnest(generate_series(1, 99)) AS n)),
+    p AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_custkey % 3000 AS INT) AS e FROM orders)
+    SELECT o_orderkey, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS terms FROM p JOIN l ON a <= e AND b >= d GROUP BY 1
+    """
+)
+def terms_in_period(spark, sf_dir):
+    day = F.to_date("o_orderdate")
+    terms = evidence.terms_in(day, F.date_add(day, (F.col("o_custkey") % 3000).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(terms, lambda n: n.cast("string")), ",").alias("terms"))
