@@ -1,11 +1,16 @@
 """Nulls, ties, empty tables and thresholds of the evidence operators."""
 
 import datetime
+import gzip
+import hashlib
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from verbatim.operators import evidence
+from verbatim.functions import text
+from verbatim.operators import evidence, nested, stats
+from verbatim.sources import readers, writers
 
 
 def told(rows, *columns):
@@ -88,3 +93,41 @@ def test_counts_with_nulls(spark):
     cells = evidence.layer_months(spark.createDataFrame([("g", "l", datetime.date(2020, 1, 31)), (None, "l", None)], "g string, l string, d date"), "g", "l", F.col("d"), "2020-01-31", "2020-03-01", ["l", "m"])
     assert cells.count() == 12 and cells.agg(F.sum("n_rows")).first()[0] == 1
     assert evidence.known_ids(rows.select("u"), rows.select("g")).count() == 4
+
+
+def test_values_under_a_key(spark):
+    rows = spark.createDataFrame([(1, '{"k": [1, {"k": "x"}, null, [2]], "a.k": 5, "b": {"k": null}}'), (2, "no"), (3, None), (4, '{"k": []}'), (5, '{"q": {"k": {"z": 1}}}')], "id int, j string")
+    assert told(nested.under_key(rows, "j", "k", "id"), "id", "value") == sorted([(1, "1"), (1, '{"k":"x"}'), (1, "x"), (1, "[2]"), (5, '{"z":1}')], key=str)
+    assert told(nested.under_key(rows, "j", "a.k", "id"), "id", "value") == [(1, "5")]
+
+
+def test_deep_text(spark):
+    rows = spark.createDataFrame([(1, '{"b": [{"Text": " two "}, {"text": ["three", " "]}], "a": {"text": "one"}, "text": 4}'), (2, "{}"), (3, None)], "id int, j string")
+    assert told(nested.deep_text(rows, "j", ["text"], "id"), "id", "text") == [(1, "one\n\ntwo\n\nthree")]
+
+
+def test_paired_jaccard(spark):
+    rows = [(f"c{i % 40}", ["x", "y"], ["x", "y"] if i % 4 else ["x"], ["x"] if i % 2 else None) for i in range(400)]
+    frame = spark.createDataFrame([*rows, (None, None, None, None)], "c string, t array<string>, a array<string>, b array<string>")
+    got = stats.paired_jaccard_bootstrap(frame, "c", "t", "a", "b", 300).first()
+    jaccard = lambda x, y: len(set(x or ()) & set(y or ())) / len(set(x or ()) | set(y or ())) if x or y else 1.0
+    assert got.difference == pytest.approx(sum(jaccard(t, a) - jaccard(t, b) for _, t, a, b in rows) / 401)
+    assert got.n_clusters == 41 and got.low < got.difference < got.high and got.p_not_above == 0
+    assert stats.paired_jaccard_bootstrap(frame.limit(0), "c", "t", "a", "b", 10).first().n_clusters == 0
+
+
+def test_compatible_hashes(spark):
+    texts = ["Straße  ﬁne", "STRASSE FINE", "ＷＩＤＥ\u3000x", None, "", " \n "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.compatible_hash(F.col("t")).alias("h"))
+    want = [hashlib.sha256(" ".join(unicodedata.normalize("NFKC", t or "").casefold().split()).encode()).hexdigest() for t in texts]
+    assert [r.h for r in rows.orderBy("i").collect()] == want and want[0] == want[1] and want[3] == want[4] == want[5]
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"x" * 3_000_000)
+    first = writers.steady_gzip(f"{tmp_path}/a", f"{tmp_path}/a.gz")
+    assert first == writers.steady_gzip(f"{tmp_path}/a", f"{tmp_path}/b.gz") and gzip.open(f"{tmp_path}/a.gz").read() == b"x" * 3_000_000
+    with pytest.raises(FileExistsError):
+        writers.steady_gzip(f"{tmp_path}/a", f"{tmp_path}/a.gz")
+    files = spark.createDataFrame([("a", b"PAR1..PAR1", 10), ("b", b"PAR1", 4), ("c", b"....PAR1", 8), ("d", b"PAR1....", 8), ("e", b"PAR1PAR1", 9), ("f", None, 0)], "path string, content binary, n int")
+    assert told(readers.parquet_marks(files, "n"), "path", "status") == [("a", "ok"), ("b", "short"), ("c", "no_header"), ("d", "no_footer"), ("e", "wrong_size"), ("f", "short")]

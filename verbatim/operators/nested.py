@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,6 +97,28 @@ def rejected(rows: DataFrame, text: str) -> DataFrame:
     return rows.filter(F.col(text).isNotNull() & F.expr(f"try_parse_json(`{text}`)").isNull()).withColumn("text_sha256", F.sha2(text, 256))
 
 
+def under_key(rows: DataFrame, text: str, key: str, *keys: str) -> DataFrame:
+    """keys, ordinal, path and value of every value a member named ``key`` holds at any depth; a list's items one by one.
+
+    Nulls give nothing, nor do empty lists; items that are lists stay whole. Rows that aren't JSON give nothing.
+    """
+    name = re.escape("." + key.replace("\\", "\\" * 2).replace(".", "\\."))
+    end = rf"(?<!\\)(?:\\\\)*{name}"
+    own = F.col("path").rlike(f"{end}$") & (F.col("type") != "array")
+    return flatten(rows, text, *keys).filter((own | F.col("path").rlike(rf"{end}\[\]$")) & (F.col("type") != "null")).select(*keys, "ordinal", "path", "value")
+
+
+def deep_text(rows: DataFrame, text: str, names: list[str], key: str) -> DataFrame:
+    """key and text: the trimmed non-blank strings under members of these names (in any case), joined by an empty line.
+
+    Members of one object come in the order of their names. Rows without such a string give nothing; ``key`` tells rows apart.
+    """
+    last = F.lower(F.regexp_extract("path", r"\.([^.\[\]]+)(?:\[\])*$", 1))
+    found = flatten(rows, text, key).filter((F.col("type") == "string") & last.isin([n.lower() for n in names]) & F.col("value").rlike(r"\S"))
+    parts = F.array_sort(F.collect_list(F.struct("ordinal", F.regexp_replace("value", r"^\s+|\s+$", "").alias("t"))))
+    return found.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("text"))
+
+
 def field_profile(flat: DataFrame, record: str, group: str, universe: DataFrame) -> DataFrame:
     """For each group and path: records by state (absent too), fill rate, types, lengths and whether types conflict.
 

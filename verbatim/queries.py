@@ -551,11 +551,22 @@ def page_texts(spark, sf_dir):
     return segment.page_texts(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
 
 
-@registered()
+@registered(
+    """
+    WITH f AS (SELECT event_type, '$' AS path, 'object' AS t, props <> '{}' AS filled, len(json_keys(props)) AS n FROM events WHERE json_type(props) = 'OBJECT'
+      UNION ALL SELECT event_type, '$.k', CASE WHEN json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') THEN 'integer' ELSE lower(json_type(props, '$.k')) END, true, NULL FROM events WHERE json_exists(props, '$.k')),
+    u AS (SELECT event_type, count(*) AS n_records FROM events GROUP BY 1)
+    SELECT event_type, path, count(*) AS present, count(*) FILTER (filled) AS filled, count(*) FILTER (NOT filled) AS empty, CAST(0 AS BIGINT) AS nulls, string_agg(DISTINCT t, ',' ORDER BY t) AS types,
+      CAST(min(n) AS BIGINT) AS least_length, quantile_cont(n, 0.5) AS median_length, CAST(max(n) AS BIGINT) AS most_length, any_value(n_records) AS n_records, any_value(n_records) - count(*) AS absent,
+      count(*) FILTER (filled) / any_value(n_records) AS fill_rate, count(DISTINCT t) > 1 AS type_conflict
+    FROM f JOIN u USING (event_type) GROUP BY event_type, path
+    """
+)
 def json_field_profile(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     flat = nested.flatten(events, "props", "event_id", "event_type")
-    return nested.field_profile(flat, "event_id", "event_type", events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_records")))
+    out = nested.field_profile(flat, "event_id", "event_type", events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_records")))
+    return out.withColumn("types", F.array_join("types", ","))
 
 
 @registered(
@@ -979,3 +990,19 @@ def terms_in_period(spark, sf_dir):
     day = F.to_date("o_orderdate")
     terms = evidence.terms_in(day, F.date_add(day, (F.col("o_custkey") % 3000).cast("int")))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(terms, lambda n: n.cast("string")), ",").alias("terms"))
+
+
+@registered("SELECT event_id, '$.k' AS path, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def values_under_key(spark, sf_dir):
+    return nested.under_key(table(spark, sf_dir, "events"), "props", "k", "event_id").select("event_id", "path", "value")
+
+
+@registered()
+def paired_jaccard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", F.split("text", " ").alias("all"), F.split(F.substring("text", 1, 200), " ").alias("head"), F.split(F.substring("text", 101, 200), " ").alias("next"))
+    return stats.paired_jaccard_bootstrap(docs, "source", "all", "head", "next", 200)
+
+
+@registered()
+def compatible_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.compatible_hash(F.col("text")).alias("hash"))

@@ -143,3 +143,16 @@ def selected_lines(records: DataFrame, selection: DataFrame) -> DataFrame:
 def wrong_scope(url: Column, start: Column, end: Column, first: str = "dataInicio", last: str = "dataFim") -> Column:
     """A request whose date parameters aren't the declared period's."""
     return ~(F.parse_url(url, F.lit("QUERY"), F.lit(first)).eqNullSafe(start) & F.parse_url(url, F.lit("QUERY"), F.lit(last)).eqNullSafe(end))
+
+
+def parquet_marks(files: DataFrame, size: str | None = None) -> DataFrame:
+    """path and status of whole files (rows of path and content): ok, short, wrong_size (by a column), no_header or no_footer.
+
+    A null content is short; the marks are the format's four bytes at both ends.
+    """
+    n, mark = F.octet_length("content"), F.lit(b"PAR1")
+    status = F.when(F.coalesce(n < 8, F.lit(True)), "short")
+    if size:
+        status = status.when(n != F.col(size), "wrong_size")
+    status = status.when(F.substring("content", 1, 4) != mark, "no_header").when(F.substring("content", -4, 4) != mark, "no_footer")
+    return files.select("path", status.otherwise("ok").alias("status"))

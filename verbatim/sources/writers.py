@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +78,14 @@ def cell(value: Column, most: int = 32_767, mark: str = " [...]") -> Column:
     clean = F.regexp_replace(value.cast("string"), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
     safe = F.when(clean.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), clean)).otherwise(clean)
     return F.when(F.length(safe) > most, F.concat(F.substring(safe, 1, most - len(mark)), F.lit(mark))).otherwise(safe)
+
+
+def steady_gzip(source: str, target: str, level: int = 6) -> tuple[str, str]:
+    """Compress a local file so that equal files give equal bytes; sha256 of the plain and of the packed bytes. Never overwrites."""
+    plain, size = hashlib.sha256(), 1 << 20
+    with open(source, "rb") as read, open(target, "xb") as out, gzip.GzipFile("", "wb", level, out, mtime=0) as pack:
+        while part := read.read(size):
+            plain.update(part)
+            pack.write(part)
+    with open(target, "rb") as packed:
+        return plain.hexdigest(), hashlib.file_digest(packed, "sha256").hexdigest()
