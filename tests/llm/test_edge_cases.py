@@ -1,5 +1,8 @@
 """Nulls, empty and repeated rows, ties, long texts, empty tables and clashing columns, for every operator."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +121,61 @@ def test_vectors_in_few_visited_lists(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = vector_search.search(vectors, vectors.filter("vec_id = 1"), top=100, probes=1, lists=2).collect()
     assert len(got) == 100 and sum(r.vec_id < 100 for r in got) == 63
+
+
+def test_index_of_many_lists_needs_little_memory():
+    """The driver fits it: all distances of the sample to all lists would take 200 MB a copy."""
+    x = np.random.default_rng(5).normal(size=(20_000, 8))
+    tracemalloc.start()
+    try:
+        index = vector_search.Index(x, 1250)
+        index.encode(x)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.coarse) == 1250 and most < 150e6
+
+
+def test_fitting_sample_takes_different_rows_with_the_least_hashes(spark):
+    vectors = spark.createDataFrame([(i % 500, [float(i % 500), 1.0]) for i in range(3000)], "vec_id long, embedding array<double>")
+    least = vectors.distinct().orderBy(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 32)), "vec_id").limit(100).collect()
+    assert vector_search.fitting_sample(vectors, 3000, 100).tolist() == [r.embedding for r in least]
+    assert len(vector_search.fitting_sample(vectors, 3000, 1000)) == 500
+
+
+def test_shards_hold_all_rows_of_all_lists():
+    sizes = np.array([3, 0, 25, 4, 4, 10, 9, 1])
+    first, n = vector_search.shards_of(sizes, 10)
+    held = [set(range(a, a + m)) for a, m in zip(first, n, strict=True)]
+    small = {}
+    for size, shards in zip(sizes, held, strict=True):
+        if len(shards) == 1:
+            small[min(shards)] = small.get(min(shards), 0) + size
+    assert list(n) == [1, 1, 3, 1, 1, 1, 1, 1] and max(small.values()) <= 10
+    assert not held[2] & set(small)
+
+
+@pytest.mark.parametrize("copies", [1, 3000])
+def test_best_of_a_shard(copies):
+    """Rows of unvisited lists and the query's own left out, ties of many copies to the smaller identifier."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(5000, 8)), np.repeat([[9.0, 0, 0, 0, 0, 0, 0, 0]], copies, axis=0)])
+    ids = np.arange(len(x)) * 3
+    index = vector_search.Index(x[rng.permutation(len(x))[:2000]], 20)
+    lists, codes = index.encode(x)
+    q = np.concatenate([x[:40], x[-1:]])
+    query_ids = np.append(ids[:40], ids[-1])
+    seen = rng.random((len(q), len(index.coarse))) < 0.6
+    seen[-1] = True
+    got = {}
+    for a, b, c in zip(*vector_search.best_of_shard(index, ids, lists, codes, x, query_ids, q, np.packbits(seen, axis=1), 20, 100), strict=True):
+        got.setdefault(a, []).append((-c, b))
+    hits = 0
+    for i, key in enumerate(query_ids):
+        score = (x * q[i]).sum(axis=1)
+        want = sorted((-score[j], ids[j]) for j in np.flatnonzero(seen[i][lists]) if ids[j] != key)[:20]
+        assert len(got[key]) == 20 and got[key] == sorted(got[key])
+        hits += len({*got[key]} & {*want})
+    assert hits >= 0.98 * 20 * len(q)
+    if copies > 1:
+        assert [b for _, b in got[ids[-1]]] == ids[5000:5020].tolist()
