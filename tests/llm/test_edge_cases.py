@@ -179,3 +179,28 @@ def test_best_of_a_shard(copies):
     assert hits >= 0.98 * 20 * len(q)
     if copies > 1:
         assert [b for _, b in got[ids[-1]]] == ids[5000:5020].tolist()
+
+
+def test_encoder_forgets_all_but_the_words_met_most(monkeypatch):
+    import pyarrow as pa
+
+    from verbatim.llm.textkit import chunks
+
+    monkeypatch.setattr(token_table, "REMEMBERED", 60)
+    monkeypatch.setattr(token_table.TextEncoder.forget, "__defaults__", (30,))
+    own = token_table.TextEncoder(token_table.vocabulary_path())
+    texts = [f"often seldom{i} again{i % 3} été {i}.5" for i in range(400)]
+    got = []
+    for at in range(0, 400, 20):
+        for c in chunks(pa.array(texts[at : at + 20])):
+            ids, n = own.encode(c)
+            got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [own.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    own.forget(5)
+    assert set(own.of_word) == {b"often", "été".encode(), b"again0", b"again1", b"again2"}
+    assert len(own.met) == 5 and len(own.begin) == 6 and own.begin[-1] == len(own.flat)
+    c = next(chunks(pa.array(texts[:20])))
+    ids, n = own.encode(c)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == got[:20]
+    own.forget(0)
+    assert not own.of_word and not own.flat

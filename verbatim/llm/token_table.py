@@ -25,7 +25,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 from operator import itemgetter
 from urllib.parse import urlparse
 
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_dir
-from .textkit import Chunk, chunks, word_hashes
+from .textkit import Chunk, chunks, give_back, word_hashes
 
 MAGIC = b"SSTOKEN1"
 FOOTER = struct.Struct("<QIQIIQQ8s")
@@ -46,8 +46,8 @@ END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text in one shard; small tables are cut finer, to give all cores work.
 SHARD_BYTES = 256 << 20
-#: Words whose ids a worker remembers before it forgets them all.
-REMEMBERED = 1_500_000
+#: Words whose ids a worker remembers, and how many of them, those met most often, it keeps at that number and at a task's end.
+REMEMBERED, KEPT = 500_000, 200_000
 #: Bytes of a word that are compared as integers.
 LANES = 64
 #: Masks of the first 0 to 8 bytes of a little-endian integer.
@@ -285,11 +285,25 @@ class TextEncoder:
         self.whole = Tokenizer.from_file(path)
         self.by_word = joins_nothing(self.whole)
         self.size = token_sizes(self.whole)
-        self.forget()
-
-    def forget(self) -> None:
         self.of_word: dict[bytes, int] = {}
-        self.flat, self.begin = array("I"), array("q", [0])
+        self.flat, self.begin, self.met = array("I"), array("q", [0]), array("I")
+        give_back()
+
+    def forget(self, most: int = KEPT) -> None:
+        """Remember no more than ``most`` words, those that most chunks held; of equal ones those met first."""
+        if len(self.of_word) <= most:
+            return
+        met, begin = np.array(self.met), np.array(self.begin)
+        keep = np.sort(np.argsort(-met.astype(np.int64), kind="stable")[:most])
+        words = list(self.of_word)
+        self.of_word = {words[i]: at for at, i in enumerate(keep.tolist())}
+        del words
+        n = begin[keep + 1] - begin[keep]
+        total = np.cumsum(n)
+        at = np.repeat(begin[keep] - (total - n), n) + np.arange(total[-1] if len(total) else 0)
+        self.flat = array("I", np.array(self.flat, np.uint32)[at].tobytes())
+        self.begin, self.met = array("q", np.append(0, total).astype(np.int64).tobytes()), array("I", (met[keep] // 2).astype(np.uint32).tobytes())
+        give_back()
 
     def _counts_by_bytes(self, text: str, ids: np.ndarray, n_words: int) -> np.ndarray | None:
         """Tokens of each word, from the bytes that tokens stand for; None unless every word ends where a token ends.
@@ -329,6 +343,7 @@ class TextEncoder:
         self.of_word.update(zip(words, range(known, known + len(words)), strict=True))
         self.begin.frombytes((len(self.flat) + np.cumsum(count)).astype(np.int64).tobytes())
         self.flat.extend(found)
+        self.met.frombytes(bytes(4 * len(words)))
 
     def _places(self, c: Chunk) -> np.ndarray:
         """The place of each word of the chunk among the remembered ones."""
@@ -346,6 +361,10 @@ class TextEncoder:
             known = np.fromiter(map(self.of_word.__getitem__, words), np.int64, len(words))
         else:
             known[known < 0] = np.arange(len(self.begin) - 1 - len(new), len(self.begin) - 1)
+        if len(known):
+            met = np.frombuffer(self.met, np.uint32)
+            met[known] += 1
+            del met  # the array behind it grows with the next chunk
         out = known[: len(first)][which]
         out[alone] = known[len(first) :]
         return out
@@ -436,6 +455,8 @@ def write_shards(docs: DataFrame, folder: str, path: str | None = None, shards:
                         least, most = key if least is None else least, key
                         writer.add(key, found)
             writer.finish()
+        # Workers outlive their task: what they remember adds to the memory of later stages.
+        encoder(path).forget()
         files.move(part, f"{root}/{name}")
         yield pa.RecordBatch.from_pylist(
             [{"shard": task.partitionId(), "file": name, "first_key": least, "last_key": most, "n_docs": len(writer.keys), "n_ids": writer.n_ids}],
