@@ -501,6 +501,26 @@ def test_similarity_join_of_a_hot_piece(spark, partitions):
     assert {r.doc_id: r.component_id for r in ngram_join.similarity_classes(docs).collect()} == want
 
 
+def test_similarity_join_of_a_common_passage(spark, monkeypatch):
+    """Texts that have two thirds of their n-grams in common, which links none of them, aren't grouped by them; one in ten has a linked copy."""
+    passage = " ".join(f"c{j}" for j in range(16))
+    own = {i: f"{passage} " + " ".join(f"d{i}x{j}" for j in range(6)) for i in range(400)}
+    own |= {1000 + i: own[i].rsplit(" ", 1)[0] + " z" for i in range(0, 400, 10)}
+    compared = []
+
+    def spy(df, cut=ngram_join.cut):
+        out = cut(df)
+        if "hub_component" in out.columns:
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", spy)
+    sets = {d: shingles(t, 4) for d, t in own.items()}
+    rows = ngram_join.similarity_classes(spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(8)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components(sets, 85, 100)
+    assert sum(compared) < len(own) // 4
+
+
 def test_licenses(spark, texts):
     for r in QUERIES["op10_license_scan"](spark, SF_DIR).collect():
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r.doc_id].translate(LOWER))

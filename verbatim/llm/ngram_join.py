@@ -12,13 +12,17 @@ for only two such sets can be linked without an equal piece that holds something
 There are some pieces more than that, so linked sets agree in several: a pair from the groups of
 equal keys is kept if its equal pieces, counted over all groups, are as many as the two sets' own
 empty pieces leave certain, and it is verified exactly. Groups of more than PAIRED members, whose
-pairs would grow with their square, go another way: each member is verified against one hub of its
-groups (the member that is in most groups) and what is linked becomes one component; then only the
-members outside the hub's component are compared with their group, in blocks, by Hamming distance of
-their whole sketches, and verified. No link is lost on either way: a pair whose counted pieces fall
-short of what is certain has the others in large groups, so it meets there. A set whose large groups,
-with the most pieces that it shares with any one set in small groups, are fewer than what is certain
-has no such pair and leaves them: texts that have no more than a passage in common go no further.
+pairs would grow with their square, go another way. A pair whose counted pieces fall short of what is
+certain has the others in large groups; a set whose large groups, with the most pieces that it shares
+with any one set in small groups, are fewer than what is certain has no such pair and leaves them. The
+sets that stay, the crowd, are each verified against one hub of their groups, and what is linked becomes
+one component. Then they are grouped anew, by n-grams: sets linked with one of n members share at least
+n * t, so with all n-grams in one order, the same for all sets, the first n-gram that two linked sets
+share is among the first n - n * t + 1 of either. The order puts first what few of the crowd hold, so a
+passage that many sets hold makes no group as long as it fills less than the share t of them. In a
+group whose members are not all of one component, each is verified against the hub (the member that is
+in most groups); then only the members outside the hub's component are compared with their group, in
+blocks, by Hamming distance of their whole sketches, and verified. No link is lost on any way.
 
 A key that a map task meets in more than PAIRED sets of one run of texts reaches its bucket once,
 marked; its members go on beside the bucket, so a piece that a third of all sets share doesn't land
@@ -50,6 +54,10 @@ BLOCK, PAIRS_TOGETHER = 512, 1 << 19
 PAIRED = 32
 #: Rounds in which a large group's members are verified against a hub before all that are still apart are compared.
 ROUNDS = 1
+#: Cells in which the crowd's n-grams are counted; two of one cell only stand at like places in the order.
+CELLS = 1 << 20
+#: Sets put in order at once.
+ORDERED = 500
 
 
 def shingle_sets(c, k: int):
@@ -346,6 +354,37 @@ def _sets(k: int):
     return run
 
 
+def _count_cells(batches):
+    """How many n-grams of all sets fall in each cell that has any."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        cells = batch.column(0).flatten().to_numpy(zero_copy_only=False) & (CELLS - 1)
+        total += np.bincount(cells, minlength=CELLS)
+    found = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["cell", "n"])
+
+
+def _rarest(often: np.ndarray, need: int, of: int):
+    """(gid, node): of each set the n-grams of which one at least is shared by any two linked sets, but none that only one set has.
+
+    often: for each cell a number that grows with its count, 0 for one n-gram or none.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, ORDERED) for i in range(0, len(batch), ORDERED)):
+                h = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                n = part.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                count = often[h & (CELLS - 1)]
+                order = np.lexsort((h, count, row))
+                place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (place <= (n - -(-need * n // of))[row]) & (count[order] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(h[order[keep]]), part.column(0).take(pa.array(row[keep]))], ["gid", "node"])
+
+    return run
+
+
 class _Members:
     """A block of a group's members, from an Arrow list: flat arrays, nothing copied."""
 
@@ -443,9 +482,11 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     groups_of = every.groupBy("node", "band").agg(F.sum("times").alias("groups"), F.max("sure").alias("sure"))
     best = counted.select("band", "shared", F.explode(F.array("a", "b")).alias("node")).groupBy("node", "band").agg(F.max("shared").alias("most"))
     alive = groups_of.join(best, ["node", "band"], "left").filter(F.col("groups") + F.coalesce("most", F.lit(0)) >= F.col("sure")).select("node", "band")
-    tied = cut(every.join(alive, ["node", "band"], "left_semi").groupBy("gid", "node").agg(F.min("hub").alias("hub")))
+    # Of each node of the crowd: how many of its groups have which least member.
+    tied = cut(every.join(alive, ["node", "band"], "left_semi").groupBy("gid", "node").agg(F.min("hub").alias("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("count")))
+    crowd = tied.select("node").distinct()
     # The set of each node of a pair or large group, from the text of one document that has it.
-    picks = described.join(tied.select("node").unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
+    picks = described.join(crowd.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
     picks = cut(picks)
     texts = likely_in(rows, "tie", picks).join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
     sets = cut(texts.mapInArrow(_sets(k), "node long, members array<long>").dropDuplicates(["node"]))
@@ -457,15 +498,20 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
 
     def stars(met_with: DataFrame) -> DataFrame:
         """Each node (a) and the hub (b) that it meets most often."""
-        often = met_with.groupBy("node", "hub").count().groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m"))
+        often = met_with.groupBy("node").agg(F.max(F.struct("count", "hub")).alias("m"))
         return often.select(F.col("node").alias("a"), F.col("m.hub").alias("b"))
 
     # The least member is the same in most groups of like sets, and no join is needed to find it.
-    begun = stars(tied.select("hub", "node").filter("node <> hub").join(tied.select(F.col("node").alias("hub")).distinct(), "hub", "left_semi"))
+    begun = stars(tied.filter("node <> hub").join(crowd.select(F.col("node").alias("hub")), "hub", "left_semi"))
     links = cut(verified(likely.unionByName(begun)))
     parts = cut(connected(links))
-    # A set has no more groups than pieces. The hub of a group is now the member that is in most groups.
-    tied = tied.drop("hub")
+    # From here on a group is the sets that have one n-gram, and its hub the member that is in most groups.
+    crowded = sets.join(crowd, "node", "left_semi").select("node", "members")
+    counts = crowded.select("members").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
+    counts = counts.select(F.col("cell").cast("int").alias("cell"), F.ceil(8 * F.log2("n")).cast("short").alias("often")).toArrow()
+    often = np.zeros(CELLS, np.uint8)
+    often[counts["cell"].to_numpy()] = np.minimum(counts["often"].to_numpy(), 255)
+    tied = cut(crowded.mapInArrow(_rarest(often, need, of), "gid long, node long"))
     meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
     for turn in range(ROUNDS + 1):
         degree = meets.select("node", F.size("gids").alias("degree"))
@@ -477,7 +523,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         if turn == ROUNDS or rest.isEmpty():
             break
         # Of the hubs of its groups, each member is verified against the one it meets most often.
-        links = cut(links.unionByName(verified(stars(rest.filter("component <> hub_component")))))
+        links = cut(links.unionByName(verified(stars(rest.filter("component <> hub_component").groupBy("node", "hub").count()))))
         parts = cut(connected(links))
     if not rest.isEmpty():
         sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
