@@ -365,7 +365,7 @@ def _count_cells(batches):
 
 
 def _rarest(often: np.ndarray, need: int, of: int):
-    """(gid, node): of each set the n-grams of which one at least is shared by any two linked sets, but none that only one set has.
+    """(gid, node): of each set the n-grams of which one at least is shared by any two linked sets, without most of those that only one set has.
 
     often: for each cell a number that grows with its count, 0 for one n-gram or none.
     """
@@ -511,7 +511,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     counts = counts.select(F.col("cell").cast("int").alias("cell"), F.ceil(8 * F.log2("n")).cast("short").alias("often")).toArrow()
     often = np.zeros(CELLS, np.uint8)
     often[counts["cell"].to_numpy()] = np.minimum(counts["often"].to_numpy(), 255)
-    tied = cut(crowded.mapInArrow(_rarest(often, need, of), "gid long, node long"))
+    first_few = cut(crowded.mapInArrow(_rarest(often, need, of), "gid long, node long"))
+    # Full cells let n-grams through that only one set has.
+    tied = cut(first_few.join(first_few.groupBy("gid").count().filter("count > 1"), "gid", "left_semi"))
     meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
     for turn in range(ROUNDS + 1):
         degree = meets.select("node", F.size("gids").alias("degree"))
