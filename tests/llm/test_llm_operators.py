@@ -559,3 +559,33 @@ def test_passages_see_the_words():
     (c,) = chunks(pa.array(["plain words stand here", "other terms came there"]))
     n, x = quality.passages(c)
     assert n.tolist() == [1, 1] and np.abs(x[0, quality.SHAPE :] - x[1, quality.SHAPE :]).max() > 0.2
+
+
+def test_similarity_join_keeps_no_room(spark, monkeypatch):
+    """Candidate pairs are told apart by sketches before n-grams are moved, cells are counted in bounded rows, and what was written on the way is deleted."""
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    common = [f"c{i}" for i in range(60)]
+    own = {i: " ".join([f"v{i}x{j}" for j in range(40)] + common) for i in range(48)}
+    own |= {100 + i: own[i] + " end" for i in range(4)}
+    asked, seen, grams = [], [], ngram_join._sets
+    monkeypatch.setattr(ngram_join, "_sets", lambda k: asked.append(k) or grams(k))
+
+    def spy(df, cut=ngram_join.cut):
+        out = cut(df)
+        seen.append((df.columns, out.count(), out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "cut", spy)
+    rows = ngram_join.similarity_classes(spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i % 100 for i in own}
+    moved = [n for columns, n, _ in seen if columns == ["node", "members"]]
+    assert moved and max(moved) <= len(own)
+    exact = [n for columns, n, _ in seen if columns == ["a", "b"]]
+    assert max(exact[1:]) <= len(own)  # the first are the candidates, before sketches
+    counts = list(ngram_join._count_cells([pa.RecordBatch.from_arrays([pa.array([list(range(0, 1 << 24, 37))], pa.list_(pa.int64()))], ["members"])]))
+    assert sum(len(batch) for batch in counts) <= 256
+    left = [columns for columns, _, files in seen if any(Path(f.removeprefix("file:")).exists() for f in files)]
+    assert not any({"members", "sketch", "text"} & set(columns) for columns in left)

@@ -24,6 +24,10 @@ group whose members are not all of one component, each is verified against the h
 in most groups); then only the members outside the hub's component are compared with their group, in
 blocks, by Hamming distance of their whole sketches, and verified. No link is lost on any way.
 
+Before n-grams are moved to verify pairs, the pairs' whole sketches are compared; they differ in no more
+bits than the sets in n-grams, so no link is lost. Of what is left one pair a set is verified, and then
+only pairs whose sets no verified link connects yet.
+
 A key that a map task meets in more than PAIRED sets of one run of texts reaches its bucket once,
 marked; its members go on beside the bucket, so a piece that a third of all sets share doesn't land
 in one task.
@@ -40,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import cut, likely_in
+from .shared import cut, drop, likely_in
 from .textkit import chunks, mix, run_hashes, word_hashes
 
 WORDS, NEED, OF = 4, 85, 100
@@ -54,8 +58,8 @@ BLOCK, PAIRS_TOGETHER = 512, 1 << 19
 PAIRED = 32
 #: Rounds in which a large group's members are verified against a hub before all that are still apart are compared.
 ROUNDS = 1
-#: Cells in which the crowd's n-grams are counted; two of one cell only stand at like places in the order.
-CELLS = 1 << 20
+#: Cells in which the crowd's n-grams are counted; two of one cell only stand at like places in the order. And cells that one row counts.
+CELLS, CELLS_TOGETHER = 1 << 22, 1 << 14
 #: Sets put in order at once.
 ORDERED = 500
 
@@ -354,14 +358,61 @@ def _sets(k: int):
     return run
 
 
+def _sketched(k: int):
+    """(node, n, sketch, text) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            for c in chunks(batch.column(0), lower=True):
+                ends, hashes = shingle_sets(c, k)
+                n = np.diff(np.append(0, ends))
+                sketches = pa.array([sketch(hashes[a - m : a]).tobytes() for a, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(ends, hashes)), pa.array(n), sketches, batch.column(0).slice(c.first, c.rows)], ["node", "n", "sketch", "text"])
+
+    return run
+
+
+def _may_link(need: int, of: int):
+    """The pairs (a, b) whose sketches don't differ in more bits than linked sets of their sizes can."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (batch.column(i).cast(pa.binary()) for i in (4, 5))
+            total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = total - 2 * (-(-need * total // (of + need)))
+            keep = np.zeros(len(batch), bool)
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(s[i].as_buffer(), "<u8") for s in (a, b))
+                # In the longer of two sketches bits fold onto the shorter one's.
+                small = min(len(x), len(y))
+                apart = np.bitwise_xor.reduce(x.reshape(-1, small), axis=0) ^ np.bitwise_xor.reduce(y.reshape(-1, small), axis=0)
+                keep[i] = int(np.bitwise_count(apart).sum()) <= most[i]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _count_cells(batches):
-    """How many n-grams of all sets fall in each cell that has any."""
-    total = np.zeros(CELLS, np.int64)
+    """How many n-grams of all sets fall in each cell, a row for each range of cells that has any."""
+    total = np.zeros(CELLS, np.uint32)
     for batch in batches:
         cells = batch.column(0).flatten().to_numpy(zero_copy_only=False) & (CELLS - 1)
-        total += np.bincount(cells, minlength=CELLS)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["cell", "n"])
+        found, n = np.unique(cells, return_counts=True)
+        total[found] += n.astype(np.uint32)
+    ranges = total.reshape(-1, CELLS_TOGETHER)
+    found = np.flatnonzero(ranges.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([ranges[i].tobytes() for i in found.tolist()], pa.binary())], ["range", "counts"])
+
+
+def _often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each cell of a range a number that grows with its count, 0 for one n-gram or none."""
+    total = np.zeros(CELLS_TOGETHER, np.int64)
+    for batch in batches:
+        for counts in batch.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), np.uint32)
+        at = batch.column("range")[0]
+    often = np.minimum(np.ceil(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8)
+    yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], pa.int64()), pa.array([often.tobytes()], pa.binary())], ["range", "often"])
 
 
 def _rarest(often: np.ndarray, need: int, of: int):
@@ -448,10 +499,9 @@ def _near(need: int, of: int):
     return run
 
 
-def _sketches(batches):
-    for batch in batches:
-        members = [x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(m) for m in members], pa.int64()), pa.array([sketch(m).tobytes() for m in members], pa.binary())], ["node", "n", "sketch"])
+def _id_of(column: str) -> list:
+    """A doc_id that may be null, as two columns that are equal where it is: a join by them leaves rows dealt for a grouping by them."""
+    return [F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("_id"), F.col(column).isNull().alias("_bare")]
 
 
 def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: int = OF) -> DataFrame:
@@ -486,15 +536,50 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     tied = cut(every.join(alive, ["node", "band"], "left_semi").groupBy("gid", "node").agg(F.min("hub").alias("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("count")))
     crowd = tied.select("node").distinct()
     # The set of each node of a pair or large group, from the text of one document that has it.
-    picks = described.join(crowd.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("_tie"), F.col("at.doc_id").alias("_id"))
+    picks = described.join(crowd.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("tie"), *_id_of("at.doc_id"))
     picks = cut(picks)
-    texts = likely_in(rows, "tie", picks).join(picks, (F.col("tie") == F.col("_tie")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("text")
-    sets = cut(texts.mapInArrow(_sets(k), "node long, members array<long>").dropDuplicates(["node"]))
+    # Of repeated rows one stays, in the partitions of the join.
+    texts = likely_in(rows, "tie", picks).select("tie", *_id_of("doc_id"), "text").join(picks, ["tie", "_id", "_bare"]).groupBy("tie", "_id", "_bare", "text").agg(F.lit(1).alias("one"))
+    sets = cut(texts.select("text").mapInArrow(_sketched(k), "node long, n long, sketch binary, text string"))
+
+    def grams(nodes: DataFrame) -> DataFrame:
+        """The n-grams of these nodes' sets and of a few others, from their texts again: they take more room than those."""
+        return likely_in(sets.select("node", "text"), "node", nodes).select("text").mapInArrow(_sets(k), "node long, members array<long>")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+        found = cut(grams(nodes))
+        left, right = (found.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
         sized = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
-        return sized.filter(of * F.col("both") >= need * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+        linked = cut(sized.filter(of * F.col("both") >= need * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b"))
+        drop(found)
+        return linked
+
+    def linked_by(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """links with those of the linked pairs that connect more, and the components of all.
+
+        One pair a node is verified first; of the others only those whose ends are then still apart can connect
+        more. So what is moved grows with the sets, not with the pairs of a group.
+        """
+        left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+        sized = pairs.join(left, "a").join(right, "b").filter(of * F.least("n_a", "n_b") >= need * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        near = cut(sized.mapInArrow(_may_link(need, of), "a long, b long"))
+        near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        one_each = near.groupBy("a").agg(F.min("b").alias("b"))
+        for turn in range(2):
+            asked = one_each
+            if turn:
+                known = [parts.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"]
+                apart = near.join(known[0], "a", "left").join(known[1], "b", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
+                asked = cut(apart.select("a", "b").distinct().join(one_each, ["a", "b"], "left_anti"))
+            if links is not None and asked.isEmpty():
+                continue
+            fresh = verified(asked)
+            if links is None or not fresh.isEmpty():
+                links = fresh if links is None else cut(links.unionByName(fresh))
+                parts = cut(connected(links))
+        drop(near)
+        return links, parts
 
     def stars(met_with: DataFrame) -> DataFrame:
         """Each node (a) and the hub (b) that it meets most often."""
@@ -503,15 +588,16 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
 
     # The least member is the same in most groups of like sets, and no join is needed to find it.
     begun = stars(tied.filter("node <> hub").join(crowd.select(F.col("node").alias("hub")), "hub", "left_semi"))
-    links = cut(verified(likely.unionByName(begun)))
-    parts = cut(connected(links))
+    links, parts = linked_by(None, None, likely.unionByName(begun))
     # From here on a group is the sets that have one n-gram, and its hub the member that is in most groups.
-    crowded = sets.join(crowd, "node", "left_semi").select("node", "members")
-    counts = crowded.select("members").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).filter("n > 1")
-    counts = counts.select(F.col("cell").cast("int").alias("cell"), F.ceil(8 * F.log2("n")).cast("short").alias("often")).toArrow()
-    often = np.zeros(CELLS, np.uint8)
-    often[counts["cell"].to_numpy()] = np.minimum(counts["often"].to_numpy(), 255)
+    crowded = cut(grams(crowd).join(crowd, "node", "left_semi"))
+    counts = cut(crowded.select("members").mapInArrow(_count_cells, "range long, counts binary").groupBy("range").applyInArrow(_often, "range long, often binary"))
+    often = np.zeros((CELLS // CELLS_TOGETHER, CELLS_TOGETHER), np.uint8)
+    for at, cells in counts.collect():
+        often[at] = np.frombuffer(cells, np.uint8)
+    often = often.ravel()
     first_few = cut(crowded.mapInArrow(_rarest(often, need, of), "gid long, node long"))
+    drop(crowded, counts)
     # Full cells let n-grams through that only one set has.
     tied = cut(first_few.join(first_few.groupBy("gid").count().filter("count > 1"), "gid", "left_semi"))
     meets = cut(tied.groupBy("node").agg(F.collect_list("gid").alias("gids")))
@@ -525,10 +611,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         if turn == ROUNDS or rest.isEmpty():
             break
         # Of the hubs of its groups, each member is verified against the one it meets most often.
-        links = cut(links.unionByName(verified(stars(rest.filter("component <> hub_component").groupBy("node", "hub").count()))))
-        parts = cut(connected(links))
+        links, parts = linked_by(links, parts, stars(rest.filter("component <> hub_component").groupBy("node", "hub").count()))
     if not rest.isEmpty():
-        sketches = sets.mapInArrow(_sketches, "node long, n long, sketch binary")
+        sketches = sets.select("node", "n", "sketch")
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / BLOCK)).alias("block")
         of_group = rest.select("gid", "hub_component", "node", "component", block).join(sketches.join(meets, "node"), "node")
 
@@ -538,8 +623,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         left, right = blocks(of_group.filter("component <> hub_component"), "left"), blocks(of_group, "right")
         pairs = left.join(right.drop("hub_component"), "gid").select("gid", "hub_component", "left", "right")
         pairs = pairs.mapInArrow(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verified(pairs)
-        parts = connected(links.unionByName(more))
+        links, parts = linked_by(links, parts, pairs)
+    # What is read from here on are the descriptions and the components.
+    drop(met, counted, likely, every, picks, sets, first_few, tied, meets, rest)
     known = described.join(parts, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = known.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "component", "left")
@@ -552,10 +638,12 @@ def keep_one_each(docs: DataFrame, k: int = 5, need: int = 80, of: int = 100) ->
     classes = similarity_classes(docs, k, need, of)
     kept = classes.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("m")).select("m.doc_id", "m.tie", F.lit(True).alias("one"))
     bare = classes.filter(F.col("component").isNull()).select("doc_id", "tie", F.lit(False).alias("one")).distinct()
-    keys = cut(kept.unionByName(bare).select(F.col("tie").alias("_tie"), F.col("doc_id").alias("_id"), F.col("one").alias("_one")))
-    whole = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("_t"), F.col("doc_id").alias("_d"))
-    found = whole.join(keys, (F.col("_t") == F.col("_tie")) & F.col("_d").eqNullSafe(F.col("_id")))
-    one = found.filter("_one").groupBy("_id", "_tie").agg(F.first("row").alias("row"))
+    at = ["_tie", "_id", "_bare"]
+    keys = cut(kept.unionByName(bare).select(F.col("tie").alias("_tie"), *_id_of("doc_id"), F.col("one").alias("_one")))
+    whole = docs.select(F.struct(*names).alias("row"), F.xxhash64("text").alias("_tie"), *_id_of("doc_id"))
+    found = whole.join(keys, at)
+    # In the partitions of the join: whole rows are moved once.
+    one = found.filter("_one").groupBy(*at).agg(F.first("row").alias("row"))
     return one.select("row").unionByName(found.filter("not _one").select("row")).select("row.*")
 
 
