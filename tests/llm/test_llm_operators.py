@@ -589,3 +589,65 @@ def test_similarity_join_keeps_no_room(spark, monkeypatch):
     assert sum(len(batch) for batch in counts) <= 256
     left = [columns for columns, _, files in seen if any(Path(f.removeprefix("file:")).exists() for f in files)]
     assert not any({"members", "sketch", "text"} & set(columns) for columns in left)
+
+
+@pytest.mark.parametrize("together", [1 << 20, 10])
+def test_components(spark, monkeypatch, together):
+    """Chains, stars, rings and pairs, with names dealt at random, brought together by one task or in rounds."""
+    from verbatim.llm import components
+
+    rng = np.random.default_rng(3)
+    names = rng.permutation(np.arange(-500, 500)).tolist()
+    links = [(i, i + 1) for i in range(100)] + [(200, i) for i in range(201, 300)] + [(i, 300 + (i + 1 - 300) % 50) for i in range(300, 350)] + [(i, i + 1) for i in range(400, 600, 2)] + [(700, 700)]
+    links = [(names[a], names[b]) if i % 2 else (names[b], names[a]) for i, (a, b) in enumerate(links)] * 2
+    monkeypatch.setattr(components, "TOGETHER", together)
+    found = components.connected(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()
+    least = {x: x for link in links for x in link if link[0] != link[1]}
+    while True:
+        after = dict(least)
+        for a, b in links:
+            if a != b:
+                after[a] = after[b] = min(after[a], after[b])
+        if after == least:
+            break
+        least = after
+    assert len(found) == len(least) and {r.node: r.component for r in found} == least
+
+
+def test_links_are_reduced_in_parts(monkeypatch):
+    """More links than a task holds at once: what is handed on connects the same nodes."""
+    import pyarrow as pa
+
+    from verbatim.llm import components
+
+    monkeypatch.setattr(components, "TOGETHER", 64)
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 3000, 2000), rng.integers(0, 3000, 2000)
+    batches = list(components._fewer(pa.RecordBatch.from_arrays([pa.array(a[i : i + 150]), pa.array(b[i : i + 150])], ["a", "b"]) for i in range(0, 2000, 150)))
+    left = [np.concatenate([x.column(i).to_numpy() for x in batches]) for i in (0, 1)]
+    assert len(batches) > 1 and (left[0] > left[1]).all()
+    nodes, least = components.least_reached(a[a != b], b[a != b])
+    again = components.least_reached(*left)
+    assert nodes.tolist() == again[0].tolist() and least.tolist() == again[1].tolist()
+    assert len(list(components._together(iter([])))[0]) == 0
+
+
+def test_components_of_few_links_are_not_shuffled(spark):
+    """Their tasks don't grow with the number of shuffle partitions."""
+    from verbatim.llm import components
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {x: spark.conf.get(x) for x in settings}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for x, value in settings.items():
+            spark.conf.set(x, value)
+        context.setJobGroup("few links", "")
+        assert components.connected(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long").repartition(4)).count() == 301
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for x, value in before.items():
+            spark.conf.set(x, value)
+    stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    ran = sum(info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s)))
+    assert 0 < ran < 40

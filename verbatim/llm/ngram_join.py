@@ -524,7 +524,8 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     sent = rows.select("text").mapInArrow(_send_keys(k, need, of, buckets), "bucket long, owners binary, keys binary")
     met = cut(sent.groupBy("bucket").applyInArrow(_group, "a long, b long, band long, shared long, needed long, members binary"))
     counted = cut(met.filter("members is null").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed")))
-    likely = cut(counted.filter("shared >= needed").select("a", "b").distinct())
+    # A pair can come once a band, twice at most; those that are verified are made distinct after the sketches.
+    likely = counted.filter("shared >= needed").select("a", "b")
     # Equal groups of several buckets are one, as often as they came; a marked key's parts have one number.
     alike = met.filter("members is not null").groupBy(F.col("a").alias("hub"), F.col("b").alias("gid"), "band", "members").agg(F.sum("shared").cast("int").alias("times"))
     every = cut(alike.mapInArrow(_unpack, "hub long, gid long, band long, times long, node long, sure long"))
@@ -536,7 +537,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
     tied = cut(every.join(alive, ["node", "band"], "left_semi").groupBy("gid", "node").agg(F.min("hub").alias("hub")).groupBy("node", "hub").agg(F.count(F.lit(1)).alias("count")))
     crowd = tied.select("node").distinct()
     # The set of each node of a pair or large group, from the text of one document that has it.
-    picks = described.join(crowd.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).select(F.col("at.tie").alias("tie"), *_id_of("at.doc_id"))
+    wanted = crowd.unionByName(likely.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    # Documents of one set are counted together before the join, where they would land in one task.
+    picks = described.groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("at")).join(wanted, "node").select(F.col("at.tie").alias("tie"), *_id_of("at.doc_id"))
     picks = cut(picks)
     # Of repeated rows one stays, in the partitions of the join.
     texts = likely_in(rows, "tie", picks).select("tie", *_id_of("doc_id"), "text").join(picks, ["tie", "_id", "_bare"]).groupBy("tie", "_id", "_bare", "text").agg(F.lit(1).alias("one"))
@@ -555,8 +558,8 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         drop(found)
         return linked
 
-    def linked_by(links: DataFrame | None, parts: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """links with those of the linked pairs that connect more, and the components of all.
+    def linked_by(parts: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """The components parts, brought together by the linked ones of the pairs.
 
         One pair a node is verified first; of the others only those whose ends are then still apart can connect
         more. So what is moved grows with the sets, not with the pairs of a group.
@@ -572,14 +575,15 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
                 known = [parts.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab"]
                 apart = near.join(known[0], "a", "left").join(known[1], "b", "left").filter(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
                 asked = cut(apart.select("a", "b").distinct().join(one_each, ["a", "b"], "left_anti"))
-            if links is not None and asked.isEmpty():
+            if parts is not None and asked.isEmpty():
                 continue
             fresh = verified(asked)
-            if links is None or not fresh.isEmpty():
-                links = fresh if links is None else cut(links.unionByName(fresh))
-                parts = cut(connected(links))
+            if parts is None or not fresh.isEmpty():
+                # Each node's tie to its component stands for all links so far.
+                parts = connected(fresh if parts is None else fresh.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            drop(fresh)
         drop(near)
-        return links, parts
+        return parts
 
     def stars(met_with: DataFrame) -> DataFrame:
         """Each node (a) and the hub (b) that it meets most often."""
@@ -588,7 +592,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
 
     # The least member is the same in most groups of like sets, and no join is needed to find it.
     begun = stars(tied.filter("node <> hub").join(crowd.select(F.col("node").alias("hub")), "hub", "left_semi"))
-    links, parts = linked_by(None, None, likely.unionByName(begun))
+    parts = linked_by(None, likely.unionByName(begun))
     # From here on a group is the sets that have one n-gram, and its hub the member that is in most groups.
     crowded = cut(grams(crowd).join(crowd, "node", "left_semi"))
     counts = cut(crowded.select("members").mapInArrow(_count_cells, "range long, counts binary").groupBy("range").applyInArrow(_often, "range long, often binary"))
@@ -611,7 +615,7 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         if turn == ROUNDS or rest.isEmpty():
             break
         # Of the hubs of its groups, each member is verified against the one it meets most often.
-        links, parts = linked_by(links, parts, stars(rest.filter("component <> hub_component").groupBy("node", "hub").count()))
+        parts = linked_by(parts, stars(rest.filter("component <> hub_component").groupBy("node", "hub").count()))
     if not rest.isEmpty():
         sketches = sets.select("node", "n", "sketch")
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n_members") / BLOCK)).alias("block")
@@ -623,9 +627,9 @@ def similarity_classes(docs: DataFrame, k: int = WORDS, need: int = NEED, of: in
         left, right = blocks(of_group.filter("component <> hub_component"), "left"), blocks(of_group, "right")
         pairs = left.join(right.drop("hub_component"), "gid").select("gid", "hub_component", "left", "right")
         pairs = pairs.mapInArrow(_near(need, of), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links, parts = linked_by(links, parts, pairs)
+        parts = linked_by(parts, pairs)
     # What is read from here on are the descriptions and the components.
-    drop(met, counted, likely, every, picks, sets, first_few, tied, meets, rest)
+    drop(met, counted, every, picks, sets, first_few, tied, meets, rest)
     known = described.join(parts, "node", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = known.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = known.join(least, "component", "left")
